@@ -3,8 +3,10 @@
 from hybridqa.llm.decontaminate import op8_decontaminate
 from hybridqa.llm.near_dedup import op3_near_dedup
 from hybridqa.llm.packing import op6_packing
+from hybridqa.llm.pii import op2_pii
 from hybridqa.llm.quality import op10_quality_rules
 from hybridqa.llm.token_counts import op1_token_counts
+from hybridqa.llm.url_filter import op9_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_near_dedup, op6_packing, op8_decontaminate, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii, op3_near_dedup, op6_packing, op8_decontaminate, op9_url_filter, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
