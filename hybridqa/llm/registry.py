@@ -6,9 +6,10 @@ from hybridqa.llm.packing import op6_packing
 from hybridqa.llm.pii import op2_pii
 from hybridqa.llm.quality import op10_quality_rules
 from hybridqa.llm.substring_dedup import op7_substring_dedup
+from hybridqa.llm.suffix_dedup import op4_suffix_dedup
 from hybridqa.llm.token_counts import op1_token_counts
 from hybridqa.llm.toxicity import op5_toxicity
 from hybridqa.llm.url_filter import op9_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii, op3_near_dedup, op5_toxicity, op6_packing, op7_substring_dedup, op8_decontaminate, op9_url_filter, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii, op3_near_dedup, op4_suffix_dedup, op5_toxicity, op6_packing, op7_substring_dedup, op8_decontaminate, op9_url_filter, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
