@@ -1,4 +1,4 @@
-"""The pipeline over documents: each stage is written as Parquet and read again by the next."""
+"""The pipeline over documents. Each stage works on all that the one before it kept, written as Parquet and read again."""
 
 from __future__ import annotations
 
@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hybridqa.llm.common import materialise, table
+from hybridqa.llm.decontaminate import keep_clean
+from hybridqa.llm.near_dedup import keep_first
+from hybridqa.llm.packing import packed
+from hybridqa.llm.pii import with_surrogates
 from hybridqa.llm.quality import keep_good
 
 
@@ -15,8 +19,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality)]
-#: Trees, sketches and tokenizers are not SQL: tests compare the stages with brute force.
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: the document with the least doc_id of each group stays."""
+    return keep_first(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents into which a benchmark item leaks go."""
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: entities in text are replaced; every document stays."""
+    return with_surrogates(docs).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: the pieces of the remaining documents in sequences of 2048 ids."""
+    return packed(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", pii), ("packing", packing),
+]
+#: Trees, sketches and tokenizers are not SQL: tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
