@@ -56,6 +56,7 @@ def pool_vectors(df: DataFrame, how: str = "max") -> DataFrame:
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[list[int], np.ndarray]]:
     """(ids, matrix) of the queries, in blocks of bounded size."""
+    queries = queries.select("q", "vec").persist()
     n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
     parts = int(n * width * 8 // BLOCK_BYTES) + 1
     for k in range(parts):
