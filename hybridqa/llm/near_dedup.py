@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents with the same words in the same order are one text (so all without words, null or empty,
     are one class); only the first of them is sketched and compared. Within a bucket of a band,
     every member is compared with two fixed members, so a bucket of n gives at most 2n pairs. Rows that
-    repeat a doc_id count once. Other columns of docs are ignored.
+    repeat a doc_id count once; rows without one are left out. Other columns of docs are ignored.
     """
     tune(docs.sparkSession)
     docs = documents_only(docs).where("doc_id is not null")
@@ -179,6 +179,6 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the least of its class."""
-    kept = near_duplicates(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """The rows of docs but for those whose doc_id is not the least of its class; rows without a doc_id stay, as do all rows of a doc_id that stays."""
+    gone = near_duplicates(docs).where("doc_id <> class_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
