@@ -96,3 +96,35 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def _moved_sql(block: str, n: str) -> str:
+    return f"CASE WHEN {n} IS NULL OR {n} = 0 OR abs({block} - {n} * g) <= {LIKE}::DOUBLE * sqrt({n} * g * (1 - g)) THEN g ELSE ({block} + {PRIOR}::DOUBLE * g) / ({n} + {PRIOR}::DOUBLE) END"
+
+
+def oracle_sql() -> str:
+    """The same judgement in DuckDB SQL; the walk down the tree is written out level by level."""
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1]))]
+    rule, verdict = (" ".join(f"WHEN {c} THEN '{x[k]}'" for c, *x in fits) for k in (0, 1))
+    ext, stem = r"regexp_extract(s, '(\.[a-z]{2,5})$', 1)", r"regexp_replace(s, '\.[a-z]{2,5}$', '')"
+    form = f"CASE WHEN regexp_matches({stem}, '^[0-9]+$') THEN '{{n}}' || {ext} WHEN regexp_matches({stem}, '^[0-9a-fA-F-]{{8,}}$') THEN '{{h}}' || {ext} WHEN regexp_matches({stem}, '[0-9]') THEN '{{a}}' || {ext} ELSE s END"
+    levels = range(DEPTH + 1)
+    columns = ", ".join(f"max({c}) FILTER (WHERE depth = {k}) AS {c}{k}" for k in levels for c in ("ab", "al", "bl", "lb"))
+    steps, last = [], "w0"
+    for k, (b, n) in enumerate([*((f"ab{k}", f"al{k}") for k in levels), *((f"bl{k}", f"lb{k}") for k in levels)], 1):
+        steps.append(f"w{k} AS (SELECT * REPLACE ({_moved_sql(b, n)} AS g) FROM {last})")
+        last = f"w{k}"
+    return f"""WITH a AS (SELECT page_id, coalesce(CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END, '') AS rest FROM pages),
+c AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+r AS (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS rv FROM c),
+f AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {form})[1:{DEPTH}] AS forms FROM r),
+seen AS (SELECT host, forms, count(*) AS n, count(*) FILTER (WHERE rv = 'block') AS block, count(rv) AS labelled FROM f GROUP BY ALL),
+lv AS (SELECT host, depth, form, sum(n) AS n FROM (SELECT host, n, unnest(forms) AS form, generate_subscripts(forms, 1) - 1 AS depth FROM seen) GROUP BY ALL),
+vd AS (SELECT host, list(depth) AS varied FROM (SELECT host, depth, count(*) AS kinds, sum(n) AS n FROM lv GROUP BY ALL) WHERE kinds >= {MANY} AND kinds > {VARIED} * n GROUP BY 1),
+tr AS (SELECT seen.*, CASE WHEN varied IS NULL THEN forms ELSE list_transform(forms, lambda s, i: CASE WHEN list_contains(varied, i - 1) AND NOT contains(s, '{{') THEN '*' ELSE s END) END AS tpl FROM seen LEFT JOIN vd USING (host)),
+nd AS (SELECT host, tpl, block, labelled, depth, array_to_string(tpl[1:depth], '/') AS prefix FROM (SELECT *, unnest(range(0, len(tpl) + 1)) AS depth FROM tr)),
+own AS (SELECT host, depth, prefix, sum(block)::DOUBLE AS bl, sum(labelled)::DOUBLE AS lb FROM nd GROUP BY ALL), ev AS (SELECT depth, prefix, sum(bl) AS ab, sum(lb) AS al FROM own GROUP BY ALL),
+ln AS (SELECT DISTINCT nd.host, tpl, nd.depth, bl, lb, ab, al FROM nd JOIN own USING (host, depth, prefix) JOIN ev USING (depth, prefix)), pv AS (SELECT host, tpl, {columns} FROM ln GROUP BY ALL),
+w0 AS (SELECT *, (ab0 + 1) / (al0 + 2) AS g FROM pv), {', '.join(steps)}
+SELECT page_id, f.host, path, rule, coalesce(rv, CASE WHEN g > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, '/' || array_to_string(tr.tpl, '/') AS template, round(g, 9) AS purity
+FROM f JOIN tr ON tr.host = f.host AND tr.forms = f.forms JOIN {last} AS w ON w.host = tr.host AND w.tpl = tr.tpl"""
