@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +54,14 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and written to the checkpoint folder: later plans start from it. The folder is the cluster's spark.checkpoint.dir; only where none is set is one made."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='hybridqa-')}")
+    return df.checkpoint()
+
+
 def strip(c: Column) -> Column:
     """Without white space of any script at both ends (trim() knows U+0020 only)."""
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
