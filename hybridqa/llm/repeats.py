@@ -126,12 +126,13 @@ def repeated_spans(
 
     every = materialise(docs.mapInArrow(cut, "uid long, doc_id long, akey long, ckey long, lo int, n int"), "cells")
     common = every.groupBy("akey").agg(F.count("*").alias("cells"), F.min("ckey").alias("c0"), F.max("ckey").alias("c1")).where("cells > 1").select("akey", (F.col("c0") != F.col("c1")).alias("mixed"))
-    met = materialise(every.join(common, "akey"), "met-cells")
+    # written first, so that the join below is of two plain shuffles and a hot anchor's cells can be split
+    met = materialise(every.join(materialise(common, "common-anchors"), "akey"), "met-cells")
     first = F.min(F.struct("doc_id", "uid", "lo", "n")).alias("first")
     kinds = met.groupBy("akey", "ckey", "mixed").agg(F.count("*").alias("times"), first)
     # equal cells: all of them are repeated (of those in order of doc_id, all but the first document's)
     again = kinds.where("times > 1").select("akey", "ckey", F.col("first.doc_id").alias("first_doc"))
-    whole = met.join(again, ["akey", "ckey"])
+    whole = met.join(materialise(again, "again-cells"), ["akey", "ckey"])
     if later_only:
         whole = whole.where("doc_id > first_doc")
     whole = whole.select("uid", "lo", (F.col("lo") + F.col("n") + (window - 1)).cast("int").alias("hi"))
