@@ -4,7 +4,8 @@ Every window of a fixed length is assigned to one anchor inside it, the leftmost
 k-grams (winnowing). The windows of one anchor start side by side and make a cell, so equal windows
 have anchors with equal hashes, and a window can only be repeated in a cell with the same anchor hash.
 Cells with an anchor of their own are done at once; equal cells are counted by a partial aggregate; of
-what remains, only one text for each different cell is fetched and goes to the shards of the operator.
+what remains, only one text for each different cell is fetched and goes to the shards of the operator;
+what is found in it holds for the equal cells of its document too.
 """
 
 from __future__ import annotations
@@ -96,8 +97,9 @@ def _block(units: list[np.ndarray], base: int, window: int, k: int) -> Iterator[
 
 
 _CELL = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("akey", pa.int64()), ("ckey", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
-_EDGE = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("akey", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("units", pa.binary())])
-_SPAN = pa.schema([("uid", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+_EDGE = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("akey", pa.int64()), ("ckey", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("units", pa.binary())])
+#: begin: where the cell of the span starts.
+_SPAN = pa.schema([("uid", pa.int64()), ("akey", pa.int64()), ("ckey", pa.int64()), ("begin", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
 def with_uid(docs: DataFrame) -> DataFrame:
@@ -113,7 +115,7 @@ def repeated_spans(
 
     later_only: a window counts as repeated only if it is also in a document with a smaller doc_id; else
     anywhere else. shard: gets all different cells of one or more anchors, in order of anchor and doc_id,
-    and yields (uid, first, end) of the repeated stretches among them.
+    and yields (uid, first, end) of the repeated stretches among them; the uid it gets is the cell's place in the list.
     """
     tune(docs.sparkSession)
     width = 1 if unit is byte_units else 8
@@ -131,13 +133,17 @@ def repeated_spans(
     first = F.min(F.struct("doc_id", "uid", "lo", "n")).alias("first")
     kinds = met.groupBy("akey", "ckey", "mixed").agg(F.count("*").alias("times"), first)
     # equal cells: all of them are repeated (of those in order of doc_id, all but the first document's)
-    again = kinds.where("times > 1").select("akey", "ckey", F.col("first.doc_id").alias("first_doc"))
-    whole = met.join(materialise(again, "again-cells"), ["akey", "ckey"])
+    again = kinds.where("times > 1").select("akey", "ckey", F.col("first.doc_id").alias("first_doc"), *(F.when(F.col("mixed"), F.col(f"first.{c}")).alias(f"first_{c}") for c in ("uid", "lo") if later_only))
+    again = materialise(again, "again-cells")
+    whole = met.join(again, ["akey", "ckey"])
     if later_only:
-        whole = whole.where("doc_id > first_doc")
+        # the first document's other cells of a kind (their keys stay): what is found in the one that is fetched holds for them too
+        twin = F.expr("coalesce(doc_id = first_doc and (uid <> first_uid or lo <> first_lo), false)")
+        whole = materialise(whole.where(twin | F.expr("doc_id > first_doc")).select("uid", "lo", "n", *(F.when(twin, F.col(c)).alias(c) for c in ("akey", "ckey"))), "again-spans")
+        twins, whole = whole.where("akey is not null").select("akey", "ckey", "uid", F.col("lo").alias("at")), whole.where("akey is null")
     whole = whole.select("uid", "lo", (F.col("lo") + F.col("n") + (window - 1)).cast("int").alias("hi"))
     # different cells with one anchor: one text of each is fetched
-    wanted = kinds.where("mixed").select("first.*", "akey").groupBy("uid").agg(F.collect_list(F.struct("akey", "lo", "n")).alias("wanted"))
+    wanted = kinds.where("mixed").select("first.*", "akey", "ckey").groupBy("uid").agg(F.collect_list(F.struct("akey", "ckey", "lo", "n")).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,21 +162,27 @@ def repeated_spans(
         for b in batches:
             for r in b.to_pylist():
                 if size >= shard_units and r["akey"] != group[-1]["akey"]:
-                    yield _spans(shard(group))
+                    yield _spans(group, shard)
                     group, size = [], 0
                 group.append(r)
                 size += len(r["units"]) // width
         if group:
-            yield _spans(shard(group))
+            yield _spans(group, shard)
 
     n = max(partitions(docs.sparkSession), 1)
-    edges = docs.join(wanted, "uid").select("uid", "doc_id", "text", "wanted").mapInArrow(fetch, "uid long, doc_id long, akey long, lo int, n int, units binary")
-    edges = edges.repartition(n, "akey").sortWithinPartitions("akey", "doc_id", "uid", "lo").mapInArrow(shards, "uid long, lo int, hi int")
+    edges = docs.join(wanted, "uid").select("uid", "doc_id", "text", "wanted").mapInArrow(fetch, "uid long, doc_id long, akey long, ckey long, lo int, n int, units binary")
+    edges = edges.repartition(n, "akey").sortWithinPartitions("akey", "doc_id", "uid", "lo").mapInArrow(shards, "uid long, akey long, ckey long, begin int, lo int, hi int")
+    if later_only:
+        edges = materialise(edges, "edge-spans")
+        spread = edges.drop("uid").join(twins, ["akey", "ckey"])
+        whole = whole.unionByName(spread.select("uid", *((F.col(c) - F.col("begin") + F.col("at")).cast("int").alias(c) for c in ("lo", "hi"))))
+    edges = edges.select("uid", "lo", "hi")
     return whole.unionByName(edges).groupBy("uid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
-def _spans(rows: Iterator[tuple[int, int, int]]) -> pa.RecordBatch:
-    got = np.array(list(rows), np.int64).reshape(-1, 3)
+def _spans(group: list[dict], shard: Callable[[list[dict]], Iterator[tuple[int, int, int]]]) -> pa.RecordBatch:
+    found = shard([r | {"uid": k} for k, r in enumerate(group)])
+    got = np.array([(r["uid"], r["akey"], r["ckey"], r["lo"], lo, hi) for k, lo, hi in found for r in (group[k],)], np.int64).reshape(-1, len(_SPAN))
     return pa.RecordBatch.from_arrays([pa.array(got[:, c], f.type) for c, f in enumerate(_SPAN)], schema=_SPAN)
 
 

@@ -267,6 +267,16 @@ def test_substring_dedup(spark, texts):
     assert got == want
 
 
+def test_a_document_that_repeats_an_earlier_passage(spark):
+    # document 1 has the passage with other surroundings; document 2 has it in equal cells, of which one is fetched
+    rng = random.Random(14)
+    passage, c, x = prose(rng, 60, 10**6), prose(rng, 60, 10**6), prose(rng, 60, 10**6)
+    docs = [(1, " ".join([prose(rng, 60, 10**6), passage, prose(rng, 60, 10**6)])), (2, " ".join([c, passage, x, prose(rng, 90, 10**6), c, passage, x])), (3, " ".join([c, passage, x]))]
+    docs.append((2, f"{docs[1][1]} {prose(rng, 50, 10**6)}"))
+    got = Counter((r.doc_id, r.n_removed) for r in substring_dedup.without_repeats(frame(spark, docs)).collect())
+    assert got == Counter([(1, 0), (2, 120), (2, 120), (3, 180)])
+
+
 def test_automata_in_several_shards():
     rng = random.Random(10)
     rows = []
