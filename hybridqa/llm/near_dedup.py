@@ -9,7 +9,7 @@ m / (n1 + n2 - m) >= 0.8.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,8 @@ SIMILAR = 0.8
 #: Bands of ROWS sketches of MINIMA shingles each. A pair of similarity 0.8 shares a sketch at about
 #: 0.8 ** MINIMA and misses all the bands at about (1 - 0.64 ** 2) ** 24, 3 in a million.
 BANDS, ROWS, MINIMA = 24, 2, 2
+#: Members of a bucket that take the first turn in being compared with those of other components.
+TURN = 8
 _P = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _P) | np.uint64(1)
 #: Elements hashed at once: bounds the memory that a very long text takes.
@@ -151,12 +153,44 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _joined(member: DataFrame, tested: DataFrame, links: Callable[[DataFrame], DataFrame], root: DataFrame) -> DataFrame:
+    """(id, root) after all pairs of a bucket whose components differ have been compared. member: doc_id, bands.
+
+    The members of a bucket's largest component need no comparison with each other. All other members take turns,
+    in slices by a hash that grow from round to round, in being compared with every member of another component,
+    so that what one round joins spares the next ones. A pair is compared once.
+    """
+    labelled = lambda rows: rows.join(root, F.col("doc_id") == F.col("id"), "left").withColumn("root", F.coalesce("root", "doc_id")).drop("id")
+    rows = labelled(member).select(F.explode("bands").alias("key"), "doc_id", "root")
+    mixed = rows.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).where("r0 < r1 and n > 2").select("key")
+    rows = materialise(rows.join(mixed, "key"), "mixed-buckets")
+    kinds = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"))
+    kinds = kinds.select("key", F.col("main.root").alias("main"), (F.col("n") - F.col("main.n")).alias("others"))
+    place = F.pmod(F.xxhash64("key", "doc_id"), F.lit(1 << 30)) / (1 << 30) * F.col("others")
+    rows = materialise(rows.join(materialise(kinds, "bucket-kinds"), "key").select("key", "doc_id", F.when(F.col("root") == F.col("main"), -1.0).otherwise(place).alias("place"), "others"), "bucket-members")
+    low, high = 0, TURN
+    while (most := rows.agg(F.max("others")).first()[0] or 0) > low:
+        now = materialise(labelled(rows.where(F.col("others") > low)), "bucket-round")
+        centre = now.where((F.col("place") >= low) & (F.col("place") < high)).select("key", F.col("doc_id").alias("centre"), F.col("root").alias("centre_root"))
+        met = now.where((F.col("place") < 0) | (F.col("place") >= low)).join(centre, "key").where("root <> centre_root")
+        new = materialise(met.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = materialise(links(new), "links")
+        tested = tested.unionByName(new)
+        if found.take(1):
+            root = components(found.unionByName(root.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+        if high >= most:
+            break
+        low, high = high, high * 8
+    return root
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) of every document.
 
     Documents with the same words in the same order are one text (so all without words, null or empty,
     are one class); only the first of them is sketched and compared. Within a bucket of a band,
-    every member is compared with two fixed members, so a bucket of n gives at most 2n pairs. Rows that
+    every member is first compared with two fixed members; pairs that this leaves in different classes are
+    compared too (see _joined), so the classes are those of all pairs of a bucket. Rows that
     repeat a doc_id count once; rows without one are left out. Other columns of docs are ignored.
     """
     tune(docs.sparkSession)
@@ -169,8 +203,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = keys.join(centre, "key").select("doc_id", F.explode(F.array_distinct(F.array("c1", "c2"))).alias("centre")).where("doc_id <> centre")
     pairs = materialise(met.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct(), "pairs")
     text = lambda c: docs.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    links = pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
-    root = components(links)
+    links = lambda pairs: pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long")
+    root = _joined(member.where("bands is not null").select("doc_id", "bands"), pairs, links, components(links(pairs)))
     return member.select("doc_id", "first").distinct().join(root, F.col("first") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "first")).alias("class_id"))
 
 

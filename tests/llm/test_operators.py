@@ -175,6 +175,24 @@ def test_near_duplicates(spark, texts):
     assert near_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_a_bucket_is_compared_whole(spark):
+    # one text with so many substitutions that pairs lie around the bound
+    rng = random.Random(15)
+    base, docs = prose(rng, 200, 10**6).split(), []
+    for i in range(160):
+        docs.append((i, " ".join(f"x{i}x{j}" if rng.random() < 0.016 else w for j, w in enumerate(base))))
+    s = [near_dedup.shingles(t.encode().split()) for _, t in docs]
+    bands = [set(near_dedup.sketch(x).tolist()) for x in s]
+    least = list(range(len(s)))
+    for a in range(len(s)):
+        for b in range(a):
+            if least[a] != least[b] and bands[a] & bands[b] and near_dedup.aligned(s[a], s[b]):
+                x, y = sorted((least[a], least[b]))
+                least = [x if r == y else r for r in least]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, docs)).collect()}
+    assert got == dict(enumerate(least))
+
+
 def test_sketches_see_order():
     rng = random.Random(6)
     a = near_dedup.shingles(prose(rng, 400, 10**6).encode().split())
