@@ -50,7 +50,7 @@ PATTERN = (
     + "|" + NAME + ")"
 )
 #: What any entity has in it: a cheap test before the long pattern.
-_HINT = rf"@|\d\d|[=:]|AKIA|(?:{_TITLE})\.? "
+_HINT = rf"@|\d\d|\d\.\d|[=:]|AKIA|(?:{_TITLE})\.? "
 
 
 def kind_of(e: Column) -> Column:
