@@ -97,6 +97,14 @@ def _card(s: Column, h: Column) -> Column:
     return F.when(group == "", new).otherwise(F.concat(*(x for i in range(4) for x in (group, F.substring(new, 1 + 4 * i, 4))[i == 0 :])))
 
 
+def title_class(lead: Column) -> Column:
+    """Script and gender of a name's title."""
+    title, out = F.regexp_replace(lead, r"\.? $", ""), F.lit("")
+    for which, titles in _TITLES.items():
+        out = F.when(title.isin(*titles), which).otherwise(out)
+    return out
+
+
 def _name(lead: Column, core: Column, h: Column, attempt: Column) -> Column:
     """A name of the title's gender and the script of the original, with as many words; more syllables after a collision."""
     title = F.regexp_replace(lead, r"\.? $", "")
@@ -133,9 +141,11 @@ def _entity(e: Column) -> Column:
 def collided(entities: DataFrame, key: str) -> DataFrame:
     """kind, core, attempt (1 or more) of the entities whose first surrogate can't be used.
 
-    Only entities that collide go through the rounds again; a round is a group-by on hashes of surrogates.
+    A core has a surrogate for each class of title that it stands with; all of them are checked, and one that collides
+    bumps the core in all its classes. Only entities that collide go through the rounds again; a round is a group-by on
+    hashes of surrogates.
     """
-    real = entities.select("kind", "lead", "core").groupBy("kind", "core").agg(F.min("lead").alias("lead"))
+    real = entities.select("kind", "lead", "core").groupBy("kind", "core", F.when(F.col("kind") == "name", title_class(F.col("lead"))).alias("class")).agg(F.min("lead").alias("lead")).drop("class")
     now = materialise(real.withColumn("attempt", F.lit(0)).withColumn("new", surrogate(F.col("kind"), F.col("lead"), F.col("core"), F.col("attempt"), key)), "pii-entities")
     while True:
         # one keeps the surrogate: an earlier attempt first, then by a hash; none keeps one that is an entity itself
@@ -144,7 +154,7 @@ def collided(entities: DataFrame, key: str) -> DataFrame:
         taken = now.join(now.select("kind", F.col("core").alias("new")), ["kind", "new"], "left_semi").select("kind", "core")
         lost = materialise(shared.unionByName(taken).distinct(), "pii-lost")
         if not lost.take(1):
-            return now.where("attempt > 0").select("kind", "core", "attempt")
+            return now.where("attempt > 0").select("kind", "core", "attempt").distinct()
         again = now.join(lost.withColumn("lost", F.lit(True)), ["kind", "core"], "left").withColumn("attempt", F.col("attempt") + F.when(F.col("lost"), 1).otherwise(0)).drop("lost", "new")
         now = materialise(again.withColumn("new", surrogate(F.col("kind"), F.col("lead"), F.col("core"), F.col("attempt"), key)), "pii-entities")
 

@@ -404,6 +404,17 @@ def test_every_entity_passes_the_hint(spark):
     assert all(got[i].n_entities == 1 and e not in got[i].text for i, e in enumerate(found))
 
 
+def test_names_of_several_titles_never_share_a_surrogate(spark):
+    rng = random.Random(17)
+    cores = sorted({f"{a}{b} {c}{d}" for a, b, c, d in ((rng.choice("KLMN"), prose(rng, 1, 0)[:-1], rng.choice("PQRS"), prose(rng, 1, 0)[:-1]) for _ in range(900))})
+    docs = [(i, f"{title} {core}") for i, (title, core) in enumerate((t, c) for c in cores for t in ("Mr", "Mrs", "г-н"))]
+    got = {r.doc_id: r.text for r in pii.with_surrogates(frame(spark, docs)).collect()}
+    of = defaultdict(set)
+    for i, t in docs:
+        of[got[i].split(" ", 1)[1]].add(t.split(" ", 1)[1])
+    assert len(cores) > 400 and all(len(v) == 1 for v in of.values())
+
+
 URLS = [
     ("http://A.Example.ORG/es/1?x", "a.example.org", "/es/1", "example.org/es/", "block"), ("https://example.org/en/12#t", "example.org", "/en/12", "example.org/en/1", "block"),
     ("x://foo.com/fr/9", "foo.com", "/fr/9", "com/fr/", "allow"), ("x://foo.com/de/", "foo.com", "/de/", "com/de/", "block"), ("http://b.org/zz", "b.org", "/zz", "org/", "allow"), ("http://org", "org", "", None, None),
