@@ -447,9 +447,13 @@ def _turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Utterances, and articles: a user turn is the question, the next assistant turn of its conversation the answer."""
     c = table(spark, sf_dir, "conversations")
     follow = c.withColumn("reply", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).where("role = 'user'")
-    pairs = follow.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("text").alias("question"), F.array().cast("array<string>").alias("variants"), F.col("reply").alias("answer_mr"), F.lit("turn").alias("category"))
-    raw = follow.select((F.col("conv_id") * 1000 + F.col("turn")).alias("q"), F.col("text").alias("raw"))
-    return raw, articles_of(pairs.dropDuplicates(["ord"]))
+    # a key for each row: conversation, turn and the place among rows of that turn, padded so that keys sort as numbers do
+    place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("text"))
+    key = F.concat_ws("-", *(F.coalesce(F.lpad(c.cast("string"), 20, "0"), F.lit("none")) for c in (F.col("conv_id"), F.col("turn"))), place.cast("string"))
+    follow = follow.withColumn("key", key)
+    pairs = follow.select(F.col("key").alias("ord"), F.col("text").alias("question"), F.array().cast("array<string>").alias("variants"), F.col("reply").alias("answer_mr"), F.lit("turn").alias("category"))
+    raw = follow.select(F.col("key").alias("q"), F.col("text").alias("raw"))
+    return raw, articles_of(pairs)
 
 
 @query()
@@ -460,13 +464,13 @@ def kb_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def answer_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, articles = _turns(spark, sf_dir)
-    return answer(raw.dropDuplicates(["q"]), build_index(articles), mode="direct")
+    return answer(raw, build_index(articles), mode="direct")
 
 
 @query()
 def answer_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, articles = _turns(spark, sf_dir)
-    return answer(raw.dropDuplicates(["q"]), build_index(articles), mode="scored")
+    return answer(raw, build_index(articles), mode="scored")
 
 
 # ---- state, statistics, evaluation ----

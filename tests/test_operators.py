@@ -221,3 +221,15 @@ def test_config(tmp_path):
     (tmp_path / "c.yaml").write_text("retrieval: {bm25: {k1: 2}, top_k: 7}\ncache: {enabled: false}\n")
     c = config.load(str(tmp_path / "c.yaml"))
     assert (c.k1, c.top_k, c.cache, c.b) == (2.0, 7, False, 0.55)
+
+
+def test_every_user_row_has_its_article_and_answer(spark, tmp_path):
+    from hybridqa.plans import queries
+
+    rows = [(1, 1000, "user", "first question of many"), (1, 1001, "assistant", "its answer"), (2, 0, "user", "second question here"), (2, 0, "user", "another one at once"), (2, 1, "assistant", "reply"), (None, 3, "user", "no conversation at all")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    users = sorted(t for *_, role, t in rows if role == "user")
+    articles = queries.kb_articles(spark, str(tmp_path)).collect()
+    assert sorted(r.question for r in articles) == users and len({r.qa_id for r in articles}) == len(users)
+    got = queries.answer_direct(spark, str(tmp_path)).collect()
+    assert len(got) == len({r.q for r in got}) == len(users)
