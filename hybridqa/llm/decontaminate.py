@@ -29,6 +29,11 @@ def tokens(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(None, _PUNCTUATION).split()
 
 
+def least_of(n: int) -> int:
+    """Matches that an item of n words needs."""
+    return int(np.ceil(SIMILAR * n - 1e-9))
+
+
 class Seeds:
     """The masked hashes of a block of benchmark items, sorted, with where they are."""
 
@@ -45,9 +50,21 @@ class Seeds:
         self.ids = np.array(self.ids, np.int64)
         self.starts.append(at)
         self.masks = [np.flatnonzero(np.array(list(m)) == "1") for m in MASKS]
+        # a short item that is alike enough has fewer other words than parts: one of its parts is met as it is
+        parts: dict[int, list[int]] = {}
+        for q, end in zip(self.starts, self.starts[1:], strict=False):
+            n = end - 16 - q
+            if n < OVERLAP:
+                cuts = np.linspace(0, n, n - least_of(n) + 2).astype(int).tolist()
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    parts.setdefault(b - a, []).append(q + a)
         self.sorted = []
-        for m in self.masks:
+        for m, only in [*((m, None) for m in self.masks), *((np.arange(k), at) for k, at in sorted(parts.items()))]:
             keys, pos = self.hashes(self.ids, m)
+            if only is not None:
+                self.masks.append(m)
+                keep = np.isin(pos, only)
+                keys, pos = keys[keep], pos[keep]
             order = np.argsort(keys, kind="stable")
             self.sorted.append((keys[order], pos[order]))
 
@@ -93,8 +110,13 @@ class Seeds:
             q0, q1 = self.starts[i], self.starts[i + 1] - 16
             p0, p1 = max(starts[d], q0 + diagonal), min(starts[d + 1] - 16, q1 + diagonal)
             same = (a[p0:p1] == self.ids[p0 - diagonal : p1 - diagonal]) & (a[p0:p1] > 0)
-            got = stretch(same)
-            if got and got[1] >= min(OVERLAP, q1 - q0) and ((d, i) not in best or got[2] > best[d, i][2]):
+            if q1 - q0 < OVERLAP:
+                matched = int(same.sum())
+                got = (0, len(same), matched) if matched >= least_of(q1 - q0) else None
+            else:
+                got = stretch(same)
+                got = got if got and got[1] >= OVERLAP else None
+            if got and ((d, i) not in best or got[2] > best[d, i][2]):
                 best[d, i] = (p0 - starts[d] + got[0], got[1], got[2])
         for (d, i), (first, length, matched) in sorted(best.items()):
             yield d, self.items[i], first, length, matched, matched / (self.starts[i + 1] - 16 - self.starts[i])
@@ -134,8 +156,8 @@ _LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_wor
 def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, start_word, n_words, n_matched, item_share of each leak of a benchmark item into a document.
 
-    Words are lower-cased and freed of punctuation. A leak is a stretch of 13 words or more (the whole
-    item if that is shorter) of which 80 % are the item's at the same distance. Null and empty texts on
+    Words are lower-cased and freed of punctuation. A leak is a stretch of 13 words or more of which 80 % are
+    the item's at the same distance; of an item with fewer words, 80 % of the whole item, any of its words. Null and empty texts on
     either side, and items with fewer than five words, give no row; repeated rows each give theirs.
     Each block of the benchmark is held against all documents in one pass. Other columns are ignored.
     """

@@ -326,6 +326,20 @@ def test_leaks(spark):
     assert decontaminate.leaks(frame(spark, docs), bench.where("false")).count() == 0
 
 
+def test_short_items_are_judged_whole():
+    rng = random.Random(16)
+    for n in range(5, 13):
+        item = [f"w{n}x{i}" for i in range(n)]
+        seeds = decontaminate.Seeds([(1, " ".join(item))])
+        for k in range(n + 1):
+            wrong = set(rng.sample(range(n), k)) if k else set()
+            for gone in (wrong, set(range(k)), set(range(n - k, n))):
+                text = " ".join(["before", *("other" if i in gone else w for i, w in enumerate(item)), "after"])
+                want = [(0, 1, 1, n, n - k, (n - k) / n)] if n - k >= 0.8 * n else []
+                assert list(seeds.hits([text])) == want, (n, gone)
+        assert len(list(seeds.hits([" ".join(item[1:])]))) == 1
+
+
 def test_levenshtein_trie():
     rng = random.Random(12)
 
