@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from hybridqa.cluster import materialise
+
 #: The noise words of brackets, the phrases that speech recognition invents, and the fillers.
 NOISE = ("noise", "silence", "inaudible", "crosstalk", "music", "applause", "laughter", "background", "static", "beep")
 PHRASES = (
@@ -49,17 +48,9 @@ def composed(c: Column) -> Column:
     return nfc(c)
 
 
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers find this package where the driver has found it."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """df computed once and written to the checkpoint folder: later plans start from it. The folder is the cluster's spark.checkpoint.dir; only where none is set is one made."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='hybridqa-')}")
-    return df.checkpoint()
+    """df computed once and written to the shared folder: later plans start from it."""
+    return materialise(df, "cut")
 
 
 def strip(c: Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hybridqa.functions.text import ship
+from hybridqa.cluster import ship
 
 #: Bytes of the vectors that are sent to all workers at once; more are taken in several blocks.
 BLOCK_BYTES = 16_000_000

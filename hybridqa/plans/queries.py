@@ -16,7 +16,7 @@ from hybridqa.config import Config
 from hybridqa.functions import text as T
 from hybridqa.functions import tokens as K
 from hybridqa.functions.intent import ALONE, KEYWORDS, intent
-from hybridqa.functions.text import ship
+from hybridqa.cluster import ship
 from hybridqa.operators import dense, evaluate, fusion, fuzzy, gates, lexical
 from hybridqa.operators.select import overlap_score, select_best
 from hybridqa.plans.answer import answer, build_index

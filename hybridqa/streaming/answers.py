@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hybridqa.config import Config
-from hybridqa.functions.text import ship
+from hybridqa.cluster import ship
 from hybridqa.plans.answer import Index, answer
 
 
