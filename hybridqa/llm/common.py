@@ -1,17 +1,16 @@
-"""What the operators of this subpackage share: tables, cut lineage, words, text hashes."""
+"""What the operators of this subpackage share: tables, Arrow batches, words, text hashes."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Documents may be long, so that batches are kept small.
-BATCH_ROWS = 256
+from hybridqa.cluster import byte_count, discard, materialise, partitions, shared_dir, ship
+
+__all__ = ["byte_count", "discard", "documents_only", "materialise", "mix64", "partitions", "shared_dir", "ship", "table", "tune", "words"]
+#: Rows and bytes of an Arrow batch. Documents may be long, so that batches are kept small.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,30 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a Python worker's memory is bounded by a few hundred documents; and workers find this package where the driver has found it."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    """Ships the package; Arrow batches small in rows and bytes, so that a Python worker's memory is bounded whatever the texts' lengths. The settings stay, as results are computed later."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("hybridqa.shared.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='hybridqa-')}"
-        spark.conf.set("hybridqa.shared.dir", found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def documents_only(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hybridqa.llm.common import materialise
+from hybridqa.llm.common import discard, materialise
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         near = _least(down)
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(near.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = materialise(small, name)
+        last, now = now, materialise(small, name)
+        discard(last)
         seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(seen) == state:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root"))

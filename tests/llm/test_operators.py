@@ -148,7 +148,7 @@ def test_alignment_against_dynamic_programming():
             i = rng.randrange(len(y) + 1)
             y[i : i + rng.randint(0, 1)] = [rng.randrange(k)] * rng.randint(0, 2)
         m = lcs(x, y)
-        assert near_dedup.aligned(np.array(x, np.uint64), np.array(y, np.uint64)) == (bool(y) and m / (len(x) + len(y) - m) >= 0.8)
+        assert near_dedup.aligned(np.array(x, np.uint64), np.array(y, np.uint64)) == (bool(y) and m / max(len(x), len(y)) >= 0.8)
 
 
 def test_near_duplicates(spark, texts):
@@ -163,10 +163,11 @@ def test_near_duplicates(spark, texts):
             i = parent[i]
         return i
 
-    items = [(i, near_dedup.shingles((t or "").encode().split()), tuple((t or "").encode().split())) for i, t in texts]
+    items = [(i, near_dedup.word_hashes((t or "").encode().split()), tuple((t or "").encode().split())) for i, t in texts]
+    sketches = {ws: set(near_dedup.sketch(near_dedup.shingles(list(ws))).tolist()) for _, _, ws in items}
     for a, (i, s, ws) in enumerate(items):
         for j, r, vs in items[:a]:
-            if ws == vs or (len(s) and len(r) and near_dedup.aligned(s, r)):
+            if ws == vs or (sketches[ws] & sketches[vs] and near_dedup.aligned(s, r)):
                 x, y = sorted((root(i), root(j)))
                 parent[y] = x
     assert got == {i: root(i) for i in parent} and not first
@@ -175,22 +176,62 @@ def test_near_duplicates(spark, texts):
     assert near_dedup.near_duplicates(df.where("false")).count() == 0
 
 
-def test_a_bucket_is_compared_whole(spark):
-    # one text with so many substitutions that pairs lie around the bound
+def edited(rng, ws, rate):
+    """Each word dropped, doubled with a new one, or replaced at that rate."""
+    out = []
+    for w in ws:
+        if rng.random() >= rate:
+            out.append(w)
+        else:
+            out += rng.choice([[], [f"new{rng.random()}"], [w, f"new{rng.random()}"]])
+    return out
+
+
+def longest_common(x, y):
+    d = [0] * (len(y) + 1)
+    for a in x:
+        p = 0
+        for j, b in enumerate(y, 1):
+            p, d[j] = d[j], p + 1 if a == b else max(d[j], d[j - 1])
+    return d[-1]
+
+
+def test_recall_against_all_pairs():
+    # copies of texts, some with repeated shingles, edited at 1 to 8 % (so that two copies differ in up to 16 %); the yardstick is plain dynamic programming over words
+    rng, texts = random.Random(18), []
+    for k in range(12):
+        base = prose(rng, rng.choice([60, 120, 250]), 10**6).split()
+        base += base[10:40] if k % 3 == 0 else []
+        texts += [base, *(edited(rng, base, r) for r in (0.01, 0.02, 0.04, 0.05, 0.06, 0.08))]
+    keys = [set(near_dedup.sketch(near_dedup.shingles([w.encode() for w in t])).tolist()) for t in texts]
+    alike = met = 0
+    for a, x in enumerate(texts):
+        for b, y in enumerate(texts[:a]):
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and a // 7 == b // 7 and longest_common(x, y) >= 0.8 * max(len(x), len(y)):
+                alike, met = alike + 1, met + bool(keys[a] & keys[b])
+            elif a // 7 != b // 7:
+                assert not keys[a] & keys[b]
+    assert alike > 100 and met >= 0.9 * alike
+
+
+def test_a_bucket_is_compared_whole(spark, monkeypatch):
+    # one text with so many substitutions that pairs lie around the bound, and texts that share a long passage only; hot buckets from 4 members on
+    monkeypatch.setattr(near_dedup, "HOT", 4)
     rng = random.Random(15)
-    base, docs = prose(rng, 200, 10**6).split(), []
-    for i in range(160):
-        docs.append((i, " ".join(f"x{i}x{j}" if rng.random() < 0.016 else w for j, w in enumerate(base))))
-    s = [near_dedup.shingles(t.encode().split()) for _, t in docs]
-    bands = [set(near_dedup.sketch(x).tolist()) for x in s]
-    least = list(range(len(s)))
+    base, docs = prose(rng, 150, 10**6).split(), []
+    for i in range(120):
+        docs.append((i, " ".join(f"x{i}x{j}" if rng.random() < 0.11 else w for j, w in enumerate(base))))
+    docs += [(200 + i, f"{prose(rng, 50, 10**6)} {' '.join(base[:100])}") for i in range(40)]
+    s = [near_dedup.word_hashes(t.encode().split()) for _, t in docs]
+    keys = [set(near_dedup.sketch(near_dedup.shingles(t.encode().split())).tolist()) for _, t in docs]
+    least = [i for i, _ in docs]
     for a in range(len(s)):
         for b in range(a):
-            if least[a] != least[b] and bands[a] & bands[b] and near_dedup.aligned(s[a], s[b]):
+            if least[a] != least[b] and keys[a] & keys[b] and near_dedup.aligned(s[a], s[b]):
                 x, y = sorted((least[a], least[b]))
                 least = [x if r == y else r for r in least]
     got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame(spark, docs)).collect()}
-    assert got == dict(enumerate(least))
+    assert got == dict(zip((i for i, _ in docs), least, strict=True)) and len(set(least)) > 40
 
 
 def test_sketches_see_order():
@@ -198,7 +239,7 @@ def test_sketches_see_order():
     a = near_dedup.shingles(prose(rng, 400, 10**6).encode().split())
     moved = np.r_[a[200:], a[:200]]
     same = lambda x, y: int((near_dedup.sketch(x) == near_dedup.sketch(y)).sum())
-    assert same(a, a) == near_dedup.BANDS and same(a, moved) < near_dedup.BANDS * 0.6
+    assert same(a, a) == near_dedup.SKETCHES and same(a, moved) < near_dedup.SKETCHES * 0.4
 
 
 def test_components(spark):
