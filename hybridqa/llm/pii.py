@@ -1,13 +1,19 @@
 """Operator 2, PII: detected entities get keyed surrogates of the same type and form.
 
-DataFrame functions only. The surrogate is a keyed hash of type and entity, so an entity has the same one
-everywhere (coreference) without a join. All different entities are then checked together: of those
-whose surrogates agree, or whose surrogate is itself an entity of the corpus, all but one are hashed again
-until none collide; only these few reach the documents by a join.
+DataFrame functions only. An entity is led back to a canonical value (a phone number's digits, an address in lower
+case, an IBAN without spaces), which a keyed permutation of all values of its form takes to its surrogate:
+a Feistel network over characters, in which each character moves within its own alphabet. So different entities have
+different surrogates by construction, one entity has the same one everywhere without a join, and every space is used
+in full. The surrogate is then dressed in the form in which the entity was found. What has no such
+permutation (names, and numbers whose check digits are wrong) is hashed, all different ones are checked together,
+and those that collide are hashed again; only these reach the documents by a join.
 """
 
 from __future__ import annotations
 
+import secrets
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,40 +67,86 @@ def kind_of(e: Column) -> Column:
     )
 
 
+#: Country codes of phone numbers: one digit, two digits; all others have three. Fixed values of the public numbering plan.
+_CODES_1, _CODES_2 = "1 7".split(), "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+#: A character moves within its alphabet; hexadecimal letters have one of their own, so that hexadecimal stays such. All other characters stay.
+_PLAIN = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ")
+#: Those of a secret's characters.
+_ALPHABETS = (*_PLAIN, "!#$%&()*+-./:<=>?@[]^_{|}~", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýß")
+ROUNDS = 6
+KEY_CONF = "hybridqa.pii.key"
+Lookup = Callable[[Column], Column]
+
+
 def lead_of(e: Column) -> Column:
-    """What stays: the name of a secret, a name's title, the country code of a phone number."""
-    return F.when(e.rlike(f"^{_SECRET}"), F.regexp_extract(e, f"^{_SECRET}", 0)).when(e.rlike(r"^\+\d"), F.regexp_extract(e, r"^\+\d{1,3}(?=[ .(-])|^\+\d{2}", 0)).when(e.rlike(rf"^(?:{_TITLE})\.? "), F.regexp_extract(e, rf"^(?:{_TITLE})\.? ", 0)).otherwise("")
+    """What stays: the name of a secret, a name's title."""
+    return F.when(e.rlike(f"^{_SECRET}"), F.regexp_extract(e, f"^{_SECRET}", 0)).when(e.rlike(rf"^(?:{_TITLE})\.? "), F.regexp_extract(e, rf"^(?:{_TITLE})\.? ", 0)).otherwise("")
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _digest(key: str, *parts: Column) -> Column:
+    """64 hexadecimal digits."""
+    return F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 256)
+
+
+def _number(h: Column, i: Column) -> Column:
+    """The i-th number from 0 to 4095 of a digest; the digits are used again after 21."""
+    return F.conv(F.substring(h, F.pmod(i, F.lit(21)) * 3 + 1, F.lit(3)), 16, 10).cast("int")
+
+
+def _chars(s: Column) -> Column:
+    return F.filter(F.split(s, ""), lambda c: c != "")
+
+
+def _moved(s: Column, h: Column, alphabets: tuple[str, ...]) -> Column:
+    """Each character moved within its alphabet by the digest's numbers."""
+
+    def one(c: Column, i: Column, d: Column) -> Column:
+        out = c
+        for a in alphabets:
+            at = F.position(c, F.lit(a))
+            out = F.when(at > 0, F.substring(F.lit(a), F.pmod(at - 1 + _number(d, i), F.lit(len(a))) + 1, F.lit(1))).otherwise(out)
+        return out
 
+    return _bound(h, lambda d: F.array_join(F.transform(_chars(s), lambda c, i: one(c, i, d)), ""))
 
-def _hash(kind: Column, core: Column, attempt: Column, key: str) -> Column:
-    """256 hexadecimal digits."""
-    return F.concat(*(F.sha2(F.concat_ws("\x1f", F.lit(key), kind, core, attempt.cast("string"), F.lit(str(i))), 256) for i in range(4)))
 
+def permuted(s: Column, tweak: Column, key: str, alphabets: tuple[str, ...] = _PLAIN) -> Column:
+    """A keyed permutation, one for each tweak, of the strings with the same alphabets at the same places."""
+    half = F.floor(F.length(s) / 2).cast("int")
+    start = F.struct(F.substring(s, F.lit(1), half).alias("x"), F.substring(s, half + 1, F.length(s)).alias("y"))
+    step = lambda a, r: F.struct(a["y"].alias("x"), _moved(a["x"], _digest(key, tweak, r.cast("string"), a["y"]), alphabets).alias("y"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda a: F.concat(a["x"], a["y"]))
 
-def _number(h: Column, i: Column, below: int) -> Column:
-    """The i-th keyed number below that, i from 0; the digits are used again after 85."""
-    return F.pmod(F.conv(F.substring(h, F.pmod(i, F.lit(85)) * 3 + 1, F.lit(3)), 16, 10).cast("int"), F.lit(below))
 
+def _dressed(found: Column, new: Column) -> Column:
+    """The letters and digits of new in the places of those of found, small where found has small letters."""
+    nth = lambda i: F.length(F.regexp_replace(F.substring(found, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
+    return F.array_join(F.transform(_chars(found), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(new, nth(i), F.lit(1))).otherwise(c)), "")
 
-def _shaped(s: Column, h: Column) -> Column:
-    """Each digit, small and capital letter by one of its kind; all else stays."""
-    pick = lambda letters, i: F.substring(F.lit(letters), _number(h, i, len(letters)) + 1, F.lit(1))
-    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    hexa = s.rlike("^[0-9a-f]*[0-9][0-9a-f]*$")
-    one = lambda c, i: F.when(hexa & c.rlike("^[0-9a-f]$"), pick(digits + "abcdef", i)).when(c.rlike("^[0-9]$"), pick(digits, i)).when(c.rlike("^[a-z]$"), pick(small, i)).when(c.rlike("^[A-Z]$"), pick(small.upper(), i)).otherwise(c)
-    return F.array_join(F.transform(F.split(s, ""), one), "")
 
+def _cased(found: Column, new: Column) -> Column:
+    """new, of the same length, with capitals where found has them."""
+    return F.array_join(F.transform(_chars(found), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substring(new, i + 1, F.lit(1)))).otherwise(F.substring(new, i + 1, F.lit(1)))), "")
 
-def _card(s: Column, h: Column) -> Column:
-    """Digits by digits with a valid check digit (Luhn), in the same groups; the first stays."""
-    bare = F.regexp_replace(s, "[ -]", "")
-    n = F.length(bare)
-    body = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.when(i == 0, F.substring(bare, 1, 1).cast("int")).otherwise(_number(h, i, 10)))
-    doubled = F.transform(body, lambda d, i: F.when(F.pmod(n - i, F.lit(2)) == 0, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d))
-    check = F.pmod(10 - F.pmod(F.aggregate(doubled, F.lit(0), lambda a, d: a + d), F.lit(10)), F.lit(10))
-    new = F.concat(F.array_join(F.transform(body, lambda d: d.cast("string")), ""), check.cast("string"))
-    group = F.regexp_extract(s, r"^\d{4}([ -])", 1)
-    return F.when(group == "", new).otherwise(F.concat(*(x for i in range(4) for x in (group, F.substring(new, 1 + 4 * i, 4))[i == 0 :])))
+
+def luhn(body: Column) -> Column:
+    """The check digit that follows the digits of a card number."""
+    n = F.length(body)
+    double = lambda d: F.when(d > 4, d * 2 - 9).otherwise(d * 2)
+    total = F.aggregate(F.transform(_chars(body), lambda c, i: F.when(F.pmod(n - i, F.lit(2)) == 1, double(c.cast("int"))).otherwise(c.cast("int"))), F.lit(0), lambda a, d: a + d)
+    return F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10))
+
+
+def iban_check(country: Column, account: Column) -> Column:
+    """The two check digits of an IBAN."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(_chars(F.concat(account, country, F.lit("00"))), F.lit(0), lambda a, c: F.pmod(a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c), F.lit(97)))
+    return F.lpad((98 - rest).cast("string"), 2, "0")
 
 
 def title_class(lead: Column) -> Column:
@@ -105,31 +157,126 @@ def title_class(lead: Column) -> Column:
     return out
 
 
-def _name(lead: Column, core: Column, h: Column, attempt: Column) -> Column:
-    """A name of the title's gender and the script of the original, with as many words; more syllables after a collision."""
-    title = F.regexp_replace(lead, r"\.? $", "")
-    out = core
-    for which, titles in _TITLES.items():
-        given, syllables = F.array(*map(F.lit, _GIVEN[which])), F.array(*map(F.lit, _SYLLABLES[which.split("_")[0]]))
-        first = F.element_at(given, _number(h, F.lit(0), len(_GIVEN[which])) + 1)
-        family = F.array_join(F.transform(F.sequence(F.lit(1), 3 + attempt), lambda i: F.element_at(syllables, _number(h, i, 16) + 1)), "")  # noqa: B023
-        family = F.concat(F.upper(F.substring(family, 1, 1)), F.substring(family, F.lit(2), F.length(family)))
-        out = F.when(title.isin(*titles), F.when(core.contains(" "), F.concat_ws(" ", first, family)).otherwise(family)).otherwise(out)
+def family_id(which: Column, core: Column) -> Column:
+    """What a family name is checked by: its script and last word."""
+    return F.concat_ws("\x1f", F.lit("family"), F.substring_index(which, "_", 1), F.substring_index(core, " ", -1))
+
+
+def given_id(which: Column, core: Column) -> Column:
+    return F.concat_ws("\x1f", F.lit("given"), which, core)
+
+
+def _spelled(h: Column, parts: tuple[str, ...], last: Column, between: str) -> Column:
+    """Parts 0 to last, each chosen by a number of the digest."""
+    some = F.array(*map(F.lit, parts))
+    return _bound(h, lambda d: F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.element_at(some, F.pmod(_number(d, i), F.lit(len(parts))) + 1)), between))
+
+
+def _family(which: Column, core: Column, attempt: Column, key: str) -> Column:
+    """A family name of syllables in the title's script; one more syllable for each attempt."""
+    out = F.lit("")
+    for script, syllables in _SYLLABLES.items():
+        out = F.when(which.startswith(script), _spelled(_digest(key, family_id(which, core), attempt.cast("string")), syllables, 2 + attempt, "")).otherwise(out)
+    return _bound(out, lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s))))
+
+
+def _given(which: Column, core: Column, attempt: Column, key: str) -> Column:
+    """A given name of the title's gender and script; one more, joined by a hyphen, for each attempt."""
+    out = F.lit("")
+    for each, names in _GIVEN.items():
+        out = F.when(which == each, _spelled(_digest(key, given_id(which, core), attempt.cast("string")), names, attempt, "-")).otherwise(out)
     return out
 
 
-def surrogate(kind: Column, lead: Column, core: Column, attempt: Column, key: str) -> Column:
-    h = _hash(kind, core, attempt, key)
-    host = F.concat(F.lit("m"), F.substring(h, 200, 7), F.lit(".example."), F.when(core.endswith(".org"), "org").when(core.endswith(".net"), "net").otherwise("com"))
-    octet = lambda i: _number(h, F.lit(i), 254).cast("string")
+def _name(lead: Column, core: Column, attempt: Lookup, key: str) -> Column:
+    """The family name hangs on the last word alone, so that `Mr Smith` and `Mr John Smith` share it."""
+    which = title_class(lead)
+    family = _family(which, core, attempt(family_id(which, core)), key)
+    return F.when(core.contains(" "), F.concat_ws(" ", _given(which, core, attempt(given_id(which, core)), key), family)).otherwise(family)
+
+
+def _digits(s: Column) -> Column:
+    return F.regexp_replace(s, "[^0-9]", "")
+
+
+def number_id(kind: Column, core: Column) -> Column:
+    return F.concat_ws("\x1f", kind, F.upper(F.regexp_replace(core, "[ -]", "")))
+
+
+def _card(core: Column, attempt: Lookup, key: str) -> Column:
+    """The first digit stays, the check digit is valid. Numbers whose own isn't valid are hashed by how far it is off."""
+
+    def new(d: Column) -> Column:
+        n = F.length(d)
+        off = F.pmod(F.substring(d, n, F.lit(1)).cast("int") - luhn(F.substring(d, F.lit(1), n - 1)), F.lit(10))
+        tweak = F.concat_ws("|", F.lit("card"), F.substring(d, 1, 1), off.cast("string"), F.when(off != 0, attempt(number_id(F.lit("card"), d))).otherwise(0).cast("string"))
+        body = F.concat(F.substring(d, 1, 1), permuted(F.substring(d, F.lit(2), n - 2), tweak, key))
+        return _bound(body, lambda b: F.concat(b, luhn(b).cast("string")))
+
+    return _dressed(core, _bound(_digits(core), new))
+
+
+def _iban(core: Column, attempt: Lookup, key: str) -> Column:
+    def new(v: Column) -> Column:
+        country, account = F.substring(v, 1, 2), F.substring(v, F.lit(5), F.length(v))
+        right = F.substring(v, 3, 2) == iban_check(country, account)
+        tweak = F.concat_ws("|", F.lit("iban"), country, F.when(right, "").otherwise(F.concat_ws("|", F.substring(v, 3, 2), attempt(number_id(F.lit("iban"), v)).cast("string"))))
+        return _bound(permuted(account, tweak, key), lambda b: F.concat(country, iban_check(country, b), b))
+
+    return _dressed(core, _bound(F.regexp_replace(core, " ", ""), new))
+
+
+def _phone(core: Column, key: str) -> Column:
+    """The country code stays, wherever the spaces are."""
+
+    def new(d: Column) -> Column:
+        n = F.when(~core.startswith("+"), 0).when(F.substring(d, 1, 1).isin(*_CODES_1), 1).when(F.substring(d, 1, 2).isin(*_CODES_2), 2).otherwise(3)
+        code = F.substring(d, F.lit(1), n)
+        return F.concat(code, permuted(F.substring(d, n + 1, F.length(d)), F.concat_ws("|", F.lit("phone"), F.substring(core, 1, 1) == "+", code), key))
+
+    return _dressed(core, _bound(_digits(core), new))
+
+
+def _email(core: Column, key: str) -> Column:
+    """The part before the sign and the host move, the last label stays, and the reserved domain `.example` follows."""
+    local, host = F.substring_index(core, "@", 1), F.lower(F.substring_index(core, "@", -1))
+    last = F.substring_index(host, ".", -1)
+    first = F.substring(host, F.lit(1), F.length(host) - F.length(last) - 1)
+    return F.concat(_cased(local, permuted(F.lower(local), F.concat_ws("|", F.lit("email"), host), key)), F.lit("@"), permuted(first, F.concat_ws("|", F.lit("host"), last), key), F.lit("."), last, F.lit(".example"))
+
+
+def _ip(core: Column, key: str) -> Column:
+    """A permutation of all addresses: the halves move by each other's digests, octet by octet."""
+    octets = F.transform(F.split(core, "\\."), lambda o: o.cast("int"))
+    half = lambda a, b: F.struct(F.element_at(octets, a).alias("p"), F.element_at(octets, b).alias("q"))
+    start = F.struct(half(1, 2).alias("x"), half(3, 4).alias("y"))
+
+    def step(a: Column, r: Column) -> Column:
+        h = _digest(key, F.lit("ip"), r.cast("string"), a["y"]["p"].cast("string"), a["y"]["q"].cast("string"))
+        moved = _bound(h, lambda d: F.struct(F.pmod(a["x"]["p"] + _number(d, F.lit(0)), F.lit(256)).alias("p"), F.pmod(a["x"]["q"] + _number(d, F.lit(1)), F.lit(256)).alias("q")))
+        return F.struct(a["y"].alias("x"), moved.alias("y"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda a: F.concat_ws(".", a["x"]["p"], a["x"]["q"], a["y"]["p"], a["y"]["q"]))
+
+
+def _secret(core: Column, key: str) -> Column:
+    """Permuted by form; of a secret without any character of the alphabets, a digest of its length."""
+    return F.when(core.rlike("[" + "".join(_ALPHABETS).replace("[", "\\[").replace("]", "\\]").replace("^", "\\^").replace("-", "\\-").replace("&", "\\&") + "]"), permuted(core, F.lit("secret"), key, _ALPHABETS)).otherwise(F.substring(_digest(key, F.lit("secret"), core), F.lit(1), F.greatest(F.length(core), F.lit(16))))
+
+
+def surrogate(e: Column, attempt: Lookup, key: str) -> Column:
+    """What stands in the text instead of an entity (kind, lead, core), after its lead."""
+    kind, core = e["kind"], e["core"]
     return (
-        F.when(kind == "email", F.concat(_shaped(F.substring_index(core, "@", 1), h), F.lit("@"), host))
-        .when(kind == "ip", F.concat_ws(".", F.lit("10"), octet(1), octet(2), octet(3)))
-        .when(kind == "card", _card(core, h))
-        .when(kind == "name", _name(lead, core, h, attempt))
-        .when(kind == "access_key", F.concat(F.lit("AKIA"), _shaped(F.substring(core, F.lit(5), F.length(core)), h)))
-        .when(kind == "iban", F.concat(F.substring(core, 1, 2), _shaped(F.substring(core, F.lit(3), F.length(core)), h)))
-        .otherwise(_shaped(core, h))
+        F.when(kind == "email", _email(core, key))
+        .when(kind == "ip", _ip(core, key))
+        .when(kind == "card", _card(core, attempt, key))
+        .when(kind == "name", _name(e["lead"], core, attempt, key))
+        .when(kind == "access_key", F.concat(F.lit("AKIA"), permuted(F.substring(core, F.lit(5), F.length(core)), kind, key)))
+        .when(kind == "iban", _iban(core, attempt, key))
+        .when(kind == "phone", _phone(core, key))
+        .when(kind == "ssn", _dressed(core, permuted(_digits(core), kind, key)))
+        .otherwise(_secret(core, key))
     )
 
 
@@ -138,50 +285,98 @@ def _entity(e: Column) -> Column:
     return F.struct(kind_of(e).alias("kind"), lead.alias("lead"), F.substring(e, F.length(lead) + 1, F.length(e)).alias("core"))
 
 
-def collided(entities: DataFrame, key: str) -> DataFrame:
-    """kind, core, attempt (1 or more) of the entities whose first surrogate can't be used.
+def collided(hashed: DataFrame, new: Callable[[Column], Column]) -> DataFrame:
+    """id, attempt (1 or more) of those of hashed (id, space, movable, other columns) whose first surrogate can't be used.
 
-    A core has a surrogate for each class of title that it stands with; all of them are checked, and one that collides
-    bumps the core in all its classes. Only entities that collide go through the rounds again; a round is a group-by on
-    hashes of surrogates.
+    new: the surrogate, from the columns of hashed and an attempt. In a space, an id that can't move keeps its surrogate;
+    of others with one, the least by a hash does. A value that any id has had is never given again, so only the
+    ids that collide go through a round; what the rounds before gave is read, not written again.
     """
-    real = entities.select("kind", "lead", "core").groupBy("kind", "core", F.when(F.col("kind") == "name", title_class(F.col("lead"))).alias("class")).agg(F.min("lead").alias("lead")).drop("class")
-    now = materialise(real.withColumn("attempt", F.lit(0)).withColumn("new", surrogate(F.col("kind"), F.col("lead"), F.col("core"), F.col("attempt"), key)), "pii-entities")
+    now = materialise(hashed.withColumn("attempt", F.lit(0)).withColumn("new", new(F.lit(0))), "pii-hashed")
+    given, out, attempt = now.select("space", "new"), None, 0
     while True:
-        # one keeps the surrogate: an earlier attempt first, then by a hash; none keeps one that is an entity itself
-        best = now.groupBy("kind", "new").agg(F.min(F.struct("attempt", F.xxhash64("core").alias("h"), "core")).alias("best"), F.count("*").alias("n")).where("n > 1").select("kind", "new", F.col("best.core").alias("keeper"))
-        shared = now.join(best, ["kind", "new"]).where("core <> keeper").select("kind", "core")
-        taken = now.join(now.select("kind", F.col("core").alias("new")), ["kind", "new"], "left_semi").select("kind", "core")
-        lost = materialise(shared.unionByName(taken).distinct(), "pii-lost")
+        keeper = now.groupBy("space", "new").agg(F.min(F.struct("movable", F.xxhash64("id").alias("h"), "id")).alias("best"), F.count("*").alias("n")).where("n > 1").select("space", "new", F.col("best.id").alias("keeper"))
+        lost = now.join(keeper, ["space", "new"]).where("id <> keeper and movable").select(*hashed.columns)
+        if attempt:
+            taken = now.join(before, ["space", "new"], "left_semi").select(*hashed.columns)  # noqa: F821
+            lost = lost.unionByName(taken).dropDuplicates(["id"])
+            stay = now.select("id", "attempt")
+            out = stay if out is None else out.unionByName(stay)
+        lost = materialise(lost, "pii-lost")
         if not lost.take(1):
-            return now.where("attempt > 0").select("kind", "core", "attempt").distinct()
-        again = now.join(lost.withColumn("lost", F.lit(True)), ["kind", "core"], "left").withColumn("attempt", F.col("attempt") + F.when(F.col("lost"), 1).otherwise(0)).drop("lost", "new")
-        now = materialise(again.withColumn("new", surrogate(F.col("kind"), F.col("lead"), F.col("core"), F.col("attempt"), key)), "pii-entities")
-
-
-def with_surrogates(docs: DataFrame, key: str = "surrogate-key") -> DataFrame:
+            break
+        attempt, before = attempt + 1, given
+        now = materialise(lost.withColumn("attempt", F.lit(attempt)).withColumn("new", new(F.lit(attempt))), "pii-hashed")
+        given = given.unionByName(now.select("space", "new"))
+    if out is None:
+        return now.where("false").select("id", "attempt")
+    return out.groupBy("id").agg(F.max("attempt").alias("attempt"))
+
+
+def _bumped(entities: DataFrame, key: str) -> DataFrame:
+    """id, attempt of all hashed values that had to be hashed again."""
+    which = title_class(F.col("lead"))
+    names = entities.where("kind = 'name'").select(which.alias("which"), "core").distinct()
+    families = names.withColumn("id", family_id(F.col("which"), F.col("core"))).groupBy("id").agg(F.min(F.struct("which", "core")).alias("w")).select("id", "w.which", "w.core", F.substring_index("w.which", "_", 1).alias("space"), F.lit(True).alias("movable"))
+    family = collided(families, lambda a: _family(F.col("which"), F.col("core"), a, key))
+    pairs = names.where(F.col("core").contains(" ")).select(given_id(F.col("which"), F.col("core")).alias("id"), "which", "core", F.concat_ws("\x1f", "which", F.substring_index("core", " ", -1)).alias("space"), F.lit(True).alias("movable"))
+    given = collided(pairs, lambda a: _given(F.col("which"), F.col("core"), a, key))
+    numbers = entities.where("kind in ('card', 'iban')").select("kind", F.upper(F.regexp_replace("core", "[ -]", "")).alias("core")).distinct()
+    right = F.when(F.col("kind") == "card", luhn(F.substring("core", F.lit(1), F.length("core") - 1)).cast("string") == F.substring("core", F.length("core"), F.lit(1))).otherwise(iban_check(F.substring("core", 1, 2), F.substring("core", F.lit(5), F.length("core"))) == F.substring("core", 3, 2))
+    numbers = numbers.select(number_id(F.col("kind"), F.col("core")).alias("id"), "kind", "core", F.col("kind").alias("space"), (~right).alias("movable"))
+    number = collided(numbers, lambda a: F.when(F.col("kind") == "card", _card(F.col("core"), lambda _: a, key)).otherwise(_iban(F.col("core"), lambda _: a, key)))
+    return family.unionByName(given).unionByName(number)
+
+
+def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     """docs with each entity in text replaced, and n_entities; other columns stay, n_chars follows the text.
 
-    A null text stays null, without entities. Repeated rows, or rows with one doc_id, are each replaced in their
-    own text. Different entities of a kind never share a surrogate. The key is a parameter: who has not got it can't
-    lead a surrogate back.
+    A null text stays null, without entities; an empty table stays empty. Repeated rows, rows with one doc_id and rows
+    without one are each replaced in their own text. A column n_entities of docs gives way to the new one; any other name may
+    occur. Different entities of a kind never share a surrogate; one entity has the same one in all its forms. A name that
+    a text has after a title is replaced where it stands without one, too. Who has not got the key can't lead a
+    surrogate back; there is no default.
     """
-    names = docs.columns
+    if not key:
+        raise ValueError("surrogates need a key")
+    names = [c for c in docs.columns if c != "n_entities"]
     has = F.coalesce(F.col("text").rlike(_HINT) & F.col("text").rlike(PATTERN), F.lit(False))
-    found = materialise(docs.where(has).withColumn("__found", F.transform(F.regexp_extract_all("text", F.lit(PATTERN), 0), _entity)), "pii-found")
-    bumped = collided(found.select(F.explode("__found").alias("e")).select("e.*"), key)
-    attempts = found.select("doc_id", F.explode("__found").alias("e")).select("doc_id", "e.kind", "e.core").distinct().join(bumped, ["kind", "core"])
-    attempts = attempts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "core"), "attempt"))).alias("__attempts"))
-    attempt = lambda e: F.coalesce(F.try_element_at(F.col("__attempts"), F.concat_ws("\x1f", e["kind"], e["core"])), F.lit(0))
-    new = F.transform("__found", lambda e: F.concat(e["lead"], surrogate(e["kind"], e["lead"], e["core"], attempt(e), key)))
-    gaps = F.split("text", PATTERN, -1)
+    rows = docs.where(has).select(F.struct(*names).alias("row"), "text")
+    found = materialise(rows.select("row", "text", F.transform(F.regexp_extract_all("text", F.lit(PATTERN), 0), _entity).alias("found")).withColumn("at", F.monotonically_increasing_id()), "pii-found")
+    entities = found.select(F.explode("found").alias("e")).select("e.*").where("kind in ('name', 'card', 'iban')").distinct()
+    bumped = materialise(_bumped(materialise(entities, "pii-entities"), key), "pii-bumped")
+    ids = lambda e: F.when(e["kind"] == "name", F.array(family_id(title_class(e["lead"]), e["core"]), given_id(title_class(e["lead"]), e["core"]))).otherwise(F.array(number_id(e["kind"], e["core"])))
+    hashed = F.filter("found", lambda e: e["kind"].isin("name", "card", "iban"))
+    again = found.select("at", F.explode(F.array_distinct(F.flatten(F.transform(hashed, ids)))).alias("id")).join(bumped, "id").groupBy("at").agg(F.map_from_entries(F.collect_list(F.struct("id", "attempt"))).alias("again"))
+    attempt = lambda i: F.coalesce(F.try_element_at(F.col("again"), i), F.lit(0))
+    done = found.join(again, "at", "left").withColumn("new", F.transform("found", lambda e: surrogate(e, attempt, key)))
+    # names that occur without a title: first a mark, then the surrogate, so that no surrogate is taken for a name
+    named = F.filter(F.arrays_zip("found", "new"), lambda z: z["found"]["kind"] == "name")
+    whole = F.transform(named, lambda z: F.struct(z["found"]["core"].alias("core"), z["new"].alias("new")))
+    family = F.transform(named, lambda z: F.struct(F.substring_index(z["found"]["core"], " ", -1).alias("core"), F.substring_index(z["new"], " ", -1).alias("new")))
+    known = F.array_distinct(F.concat(whole, family))
+    known = F.array_sort(known, lambda a, b: F.length(b["core"]) - F.length(a["core"]))
+    done = done.withColumn("known", F.transform(known, lambda k, i: F.struct(k["core"].alias("core"), k["new"].alias("new"), F.concat(F.lit("\ue000"), i.cast("string"), F.lit("\ue001")).alias("mark"))))
+    alone = lambda core: F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}_@.-])"), core, F.lit(r"(?![\p{L}\p{M}\p{N}_@'’-])"))
+    marked = lambda g: F.aggregate("known", g, lambda t, k: F.regexp_replace(t, alone(k["core"]), k["mark"]))
+    filled = lambda g: F.aggregate("known", marked(g), lambda t, k: F.replace(t, k["mark"], k["new"]))
+    gaps = F.transform(F.split("text", PATTERN, -1), lambda g: F.when(F.size("known") > 0, filled(g)).otherwise(g))
+    new = F.transform(F.arrays_zip("found", "new"), lambda z: F.concat(z["found"]["lead"], z["new"]))
     text = F.array_join(F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    done = found.join(attempts, "doc_id", "left").withColumn("text", text).withColumn("n_entities", F.size("__found").cast("long"))
-    out = done.select(*names, "n_entities").unionByName(docs.where(~has).withColumn("n_entities", F.lit(0).cast("long")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out
+    done = done.select("row", text.alias("new_text"), F.size("found").cast("long").alias("n"))
+    swapped = {"text": F.col("new_text")} | ({"n_chars": F.length("new_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
+    changed = done.select(*(swapped.get(c, F.col("row")[c]).alias(c) for c in names), F.col("n").alias("n_entities"))
+    return changed.unionByName(docs.where(~has).select(*names).withColumn("n_entities", F.lit(0).cast("long")))
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key in the session's `hybridqa.pii.key`; where none is set, a random one that this session keeps to itself."""
+    found = spark.conf.get(KEY_CONF, None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY_CONF, found)
+    return found
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark))
