@@ -22,6 +22,8 @@ MASKS = ("110111", "1101011", "1011011", "1110010001")
 LEAST, OVERLAP, SIMILAR = 5, 13, 0.8
 #: Words of the benchmark that are held by a worker at a time; a larger benchmark takes more passes.
 BLOCK_WORDS = 400_000
+#: Places of documents whose hits are expanded at once.
+HITS = 10_000
 _PUNCTUATION = b".,;:!?\"'()[]{}"
 
 
@@ -95,18 +97,19 @@ class Seeds:
             ids += gap
         starts.append(len(ids))
         a, ends = np.array(ids, np.int64), np.array(starts, np.int64)
-        found: set[tuple[int, int, int]] = set()
+        starts_of, found = np.array(self.starts, np.int64), [np.zeros((0, 3), np.int64)]
         for m, (keys, where) in zip(self.masks, self.sorted, strict=True):
             key, pos = self.hashes(a, m)
             lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            for k in np.flatnonzero(hi > lo):
-                p = pos[k]
-                d = int(np.searchsorted(ends, p, "right")) - 1
-                for q in where[lo[k] : hi[k]].tolist():
-                    i = int(np.searchsorted(self.starts, q, "right")) - 1
-                    found.add((d, i, int(p) - q))
+            hit = np.flatnonzero(hi > lo)
+            for k in range(0, len(hit), HITS):
+                some = hit[k : k + HITS]
+                times = hi[some] - lo[some]
+                p = np.repeat(pos[some], times)
+                q = where[np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo[some], times)]
+                found.append(np.unique(np.column_stack([np.searchsorted(ends, p, "right") - 1, np.searchsorted(starts_of, q, "right") - 1, p - q]), axis=0))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for d, i, diagonal in found:
+        for d, i, diagonal in np.unique(np.concatenate(found), axis=0).tolist():
             q0, q1 = self.starts[i], self.starts[i + 1] - 16
             p0, p1 = max(starts[d], q0 + diagonal), min(starts[d + 1] - 16, q1 + diagonal)
             same = (a[p0:p1] == self.ids[p0 - diagonal : p1 - diagonal]) & (a[p0:p1] > 0)

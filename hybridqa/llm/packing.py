@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridqa.llm.common import documents_only, materialise, mix64, partitions, table, tune
+from hybridqa.llm.common import byte_count, discard, documents_only, materialise, mix64, partitions, table, tune
 from hybridqa.llm.encoding import encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -71,21 +71,27 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert(cells.astype(np.int64)) if len(ids) else np.zeros(0, np.int64)
 
 
+def checked(ids: np.ndarray) -> np.ndarray:
+    """The ids, which are stored in 16 bits; a vocabulary that needs more raises."""
+    if ids.max(initial=0) > 65_535:
+        raise ValueError("ids above 65535 are not supported")
+    return ids
+
+
 def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, path: str | None = None, slices: int | None = None) -> DataFrame:
     """One row for each piece of a document in a sequence.
 
     Null and empty texts are the end id alone. Documents with one key are in order of doc_id, and one key's documents
-    may be dealt to several tasks. Repeated rows are packed each. Other columns are ignored; no documents, no rows.
+    may be dealt to several tasks. Repeated rows, and rows without a doc_id, are packed each. Other columns are ignored; no documents, no rows.
     Only one sum for each task reaches the driver.
     """
     spark = docs.sparkSession
     tune(spark)
-    n = slices or max(partitions(spark), 1)
     coded = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.append(a, np.uint32(END)) for a in encoder(vocabulary, path).ids(b.column("text").to_pylist())]
+            ids = [checked(np.append(a, np.uint32(END))) for a in encoder(vocabulary, path).ids(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(curve_keys(ids), pa.int64()), pa.array([len(a) for a in ids], pa.int64()), pa.array([a.astype("<u2").tobytes() for a in ids], pa.binary())], schema=coded)
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +103,9 @@ def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY,
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n"), b.column("ids"), pa.array(before, pa.int64()), pa.array(np.full(len(sizes), task), pa.int32())], names=["doc_id", "n", "ids", "before", "task"])
 
     ids = materialise(documents_only(docs).mapInArrow(code, "doc_id long, key long, n long, ids binary"), "pack-ids")
+    n = slices or partitions(spark, 2 * byte_count(ids))
     line = materialise(ids.repartitionByRange(n, "key", "doc_id").sortWithinPartitions("key", "doc_id", "n", "ids").mapInArrow(lay, "doc_id long, n long, ids binary, before long, task int"), "pack-line")
+    discard(ids)
     base, total = {}, 0
     for r in sorted(line.groupBy("task").agg(F.sum("n").alias("n")).collect()):
         base[r["task"]], total = total, total + r["n"]

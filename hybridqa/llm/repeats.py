@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hybridqa.llm.common import documents_only, materialise, mix64, partitions, tune
+from hybridqa.llm.common import byte_count, documents_only, materialise, mix64, partitions, tune
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: Units taken at once; longer texts go in blocks that overlap by a window.
@@ -122,9 +122,9 @@ def repeated_spans(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            uid, doc = b.column("uid").to_numpy(), b.column("doc_id").to_numpy(zero_copy_only=False)
+            uid, doc = b.column("uid").to_numpy(), b.column("doc_id")
             got = np.array(list(cells([unit(t) for t in b.column("text").to_pylist()], window, k)), np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([pa.array(uid[got[:, 0]]), pa.array(doc[got[:, 0]]).cast(pa.int64()), *(pa.array(got[:, c], f.type) for c, f in zip(range(1, 5), list(_CELL)[2:], strict=True))], schema=_CELL)
+            yield pa.RecordBatch.from_arrays([pa.array(uid[got[:, 0]]), doc.take(pa.array(got[:, 0])), *(pa.array(got[:, c], f.type) for c, f in zip(range(1, 5), list(_CELL)[2:], strict=True))], schema=_CELL)
 
     every = materialise(docs.mapInArrow(cut, "uid long, doc_id long, akey long, ckey long, lo int, n int"), "cells")
     common = every.groupBy("akey").agg(F.count("*").alias("cells"), F.min("ckey").alias("c0"), F.max("ckey").alias("c1")).where("cells > 1").select("akey", (F.col("c0") != F.col("c1")).alias("mixed"))
@@ -169,7 +169,7 @@ def repeated_spans(
         if group:
             yield _spans(group, shard)
 
-    n = max(partitions(docs.sparkSession), 1)
+    n = partitions(docs.sparkSession, byte_count(met), 16 << 20)
     edges = docs.join(wanted, "uid").select("uid", "doc_id", "text", "wanted").mapInArrow(fetch, "uid long, doc_id long, akey long, ckey long, lo int, n int, units binary")
     edges = edges.repartition(n, "akey").sortWithinPartitions("akey", "doc_id", "uid", "lo").mapInArrow(shards, "uid long, akey long, ckey long, begin int, lo int, hi int")
     if later_only:

@@ -123,10 +123,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A word goes if a window of that many words covers it whose sequence also starts in a document with a smaller doc_id;
     windows are judged on the input. Null and empty texts, and texts shorter than a window, lose nothing. Rows with the
-    same doc_id never remove from each other. Other columns are ignored.
+    same doc_id never remove from each other; rows without one are neither earlier nor later, so they lose nothing and
+    take nothing. An empty table gives no rows. Other columns are ignored.
     """
     docs = with_uid(docs)
-    spans = repeated_spans(docs, word_units, window, GRAM, True, lambda rows: match_shard(rows, window), SHARD)
+    spans = repeated_spans(docs.where("doc_id is not null"), word_units, window, GRAM, True, lambda rows: match_shard(rows, window), SHARD)
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,7 +55,7 @@ def without_repeated_bytes(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A byte goes if a string of that many bytes covers it that also starts anywhere else, overlapping and in the same
     document too. Null and empty texts, and texts shorter than the window, lose nothing. Repeated rows remove each
-    other. Other columns are ignored.
+    other, and rows without a doc_id are texts like any other; an empty table gives no rows. Other columns are ignored.
     """
     docs = with_uid(docs)
     spans = repeated_spans(docs, byte_units, window, GRAM, False, lambda rows: sort_shard(rows, window), SHARD)

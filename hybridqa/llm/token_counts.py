@@ -57,8 +57,8 @@ def splice(parts: list[tuple[list[int], list[int], list[int], list[int], int]])
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, n_chunks of every whole text.
 
-    Null and empty texts have no bytes and no tokens. Repeated rows each give a row. Other columns are
-    ignored. Texts longer than a chunk are dealt out by chunk, so that no task holds more than a few chunks.
+    Null and empty texts have no bytes and no tokens. Repeated rows, and rows without a doc_id, each give a row;
+    an empty table gives none. Other columns are ignored. Texts longer than a chunk are dealt out by chunk, so that no task holds more than a few chunks.
     """
     tune(docs.sparkSession)
     docs = documents_only(docs)
@@ -81,7 +81,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, path: str | None
         if not failed.take(1):
             break
         chunk, overlap = chunk * WIDEN, overlap * WIDEN
-        rest = rest.withColumn("text_hash", F.xxhash64("text")).join(failed, ["doc_id", "text_hash"], "left_semi").drop("text_hash")
+        failed = failed.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+        rest = rest.join(failed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash")), "left_semi")
     return done.withColumn("over_limit", F.col("n_tokens") > limit).select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_chunks")
 
 
@@ -114,7 +115,7 @@ def _joints(docs: DataFrame, vocabulary: str, path: str | None, chunk: int, over
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([*list(chunks)[:3], ("n_tokens", pa.int64()), ("n_chunks", pa.int64())]))
 
     to_sql = lambda s, rename="array<long>": ", ".join(f"{f.name} {'string' if f.type == pa.string() else rename if f.type == ints else 'long'}" for f in s)
-    n = max(partitions(docs.sparkSession), 1)
+    n = partitions(docs.sparkSession, docs.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0], 16 << 20)
     dealt = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(parts, to_sql(chunks)).repartition(n, "doc_id", "k")
     return (
         dealt.mapInArrow(code, to_sql(coded))

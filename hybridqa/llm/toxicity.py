@@ -1,12 +1,16 @@
 """Operator 5, toxicity: a learned lexicon in a trie, met by Levenshtein automata, and context windows.
 
-Each different word is read once by its automaton of one edit, which walks the trie of the lexicon's
-whole terms; stems are met as prefixes. Each hit then looks at the words around it: quotation marks and
-reporting words speak for a quotation, direct address for abuse. A logistic regression weighs the counts.
+Each different word is read once by its automaton of one edit, which walks a trie of the lexicon: whole terms are met
+whole, stems as prefixes. A misspelling counts only where the words of clean documents seldom look like it.
+Each hit then looks at the words around it: quotation marks and reporting words speak for a quotation, direct
+address for abuse. A logistic regression weighs the counts; misspelled and quoted hits, which labelled documents
+seldom have, are added to its rows.
 """
 
 from __future__ import annotations
 
+import random
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hybridqa.llm.common import documents_only, table, tune
+from hybridqa.llm.common import discard, documents_only, materialise, table, tune
 
 FOLDS = 5
 _STRIP = ".,;:!?\"'()[]{}«»“”„‘’…*#%&$|<>"
@@ -27,40 +31,52 @@ REPORT = frozenset("said says wrote called quote quoted according dit écrit sel
 ADDRESS = frozenset("you your you're yourself tu toi vous votre du dich dir dein sie tú usted te ti".split())
 WINDOW = 5
 STEM = (4, 8)
-FUZZY_FROM = 5
+#: Letters that a term or stem needs to be met with an edit.
+FUZZY_FROM = 4
+PRECISION = 0.85
+#: Log odds from which a misspelling counts in full.
+FULL_EVIDENCE = 5.0
+#: Clean documents that make a word known: known words are no misspellings.
+KNOWN = 3
 
 
 class Trie:
-    """A trie of terms that an automaton of one edit walks."""
+    """A trie of terms and stems that an automaton of one edit walks."""
 
-    def __init__(self, terms: list[str]) -> None:
+    def __init__(self, terms: tuple[str, ...] | list[str], stems: tuple[str, ...] | frozenset[str] = ()) -> None:
         self.root: dict = {}
-        for t in terms:
-            at = self.root
-            for c in t:
-                at = at.setdefault(c, {})
-            at[""] = True
-
-    def within_one(self, word: str) -> bool:
-        """Whether a term is at most one edit from the word: bit i of a state set means that i letters of the word are read, with no or one edit."""
+        for mark, entries in ((0, terms), (1, stems)):
+            for t in entries:
+                at = self.root
+                for c in t:
+                    at = at.setdefault(c, {})
+                at[mark] = t
+
+    def near(self, word: str, every: bool = True) -> list[tuple[int, str]]:
+        """(0, term) of each term at most one edit from the word, (1, stem) of each stem so near to a prefix of it; without every, the first one found.
+
+        Bit i of a state set means that i letters of the word are read, with no or one edit.
+        """
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
         end = 1 << len(word)
-        todo = [(self.root, 1, 3)]
+        todo, out = [(self.root, 1, 3)], []
         while todo:
             at, none, one = todo.pop()
             for c, below in at.items():
-                if c == "":
-                    if one & end:
-                        return True
+                if c == 0 or c == 1:
+                    if one & (end if c == 0 else 2 * end - 1):
+                        out.append((c, below))
+                        if not every:
+                            return out
                     continue
                 m = masks.get(c, 0)
                 n0 = (none & m) << 1
                 n1 = (one & m) << 1 | none | none << 1 | n0 << 1
                 if (n0 | n1) & (2 * end - 1):
                     todo.append((below, n0, n1))
-        return False
+        return out
 
 
 @dataclass
@@ -68,26 +84,35 @@ class Model:
     stems: frozenset[str]
     terms: tuple[str, ...]
     weights: np.ndarray = field(default_factory=lambda: np.zeros(N_FEATURES + 1))
+    #: Words that are no misspellings, and what a misspelling of (0, term) or (1, stem) counts, from 0 to 1 (not given: 1).
+    known: frozenset[str] = frozenset()
+    evidence: dict[tuple[int, str], float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.exact = frozenset(self.terms)
-        self.trie = Trie([t for t in self.terms if len(t) >= FUZZY_FROM])
-        self.held: dict[str, int] = {}
+        fuzzy = lambda k, entries: [t for t in entries if len(t) >= FUZZY_FROM and self.evidence.get((k, t), 1.0) > 0]
+        self.trie = Trie(fuzzy(0, self.terms), fuzzy(1, self.stems))
+        self.held: dict[str, float] = {}
 
     def __getstate__(self) -> tuple:
-        return self.stems, self.terms, self.weights
+        return self.stems, self.terms, self.weights, self.known, self.evidence
 
     def __setstate__(self, state: tuple) -> None:
-        self.stems, self.terms, self.weights = state
+        self.stems, self.terms, self.weights, self.known, self.evidence = state
         self.__post_init__()
 
-    def kind(self, w: str) -> int:
-        """3 a term, 2 a stem and more, 1 a term with one edit, 0 neither."""
+    def whole(self, w: str) -> int:
+        """3 a term, 2 a stem and more, else 0."""
         if w in self.exact:
             return 3
-        if any(w[:n] in self.stems for n in range(STEM[0], min(STEM[1], len(w)) + 1)):
-            return 2
-        return int(len(w) >= FUZZY_FROM - 1 and self.trie.within_one(w))
+        return 2 * any(w[:n] in self.stems for n in range(STEM[0], min(STEM[1], len(w)) + 1))
+
+    def kind(self, w: str) -> float:
+        """As whole, else the most that it counts as a term or stem with one edit."""
+        whole = self.whole(w)
+        if whole or len(w) < FUZZY_FROM - 1 or w in self.known:
+            return whole
+        return max((self.evidence.get(e, 1.0) for e in self.trie.near(w)), default=0)
 
     def features(self, text: str) -> list[float]:
         raw = text.lower().split()
@@ -110,9 +135,9 @@ class Model:
             after = any(x[-1:] in _QUOTES or x.rstrip(_STRIP) != x and any(q in x for q in _QUOTES) for x in raw[i : i + WINDOW + 1])
             quoted += bool(before) and after or any(x.strip(_STRIP) in REPORT for x in near)
             addressed += any(x.strip(_STRIP) in ADDRESS for x in near)
-        n = Counter(kinds)
+        n, fuzzy = Counter(kinds), sum(k for k in kinds if 0 < k <= 1)
         return [
-            np.log1p(n[3]), np.log1p(n[2]), np.log1p(n[1]), 1.0, float(n[3] > 0), float(not n[3] and not n[2]),
+            np.log1p(n[3]), np.log1p(n[2]), np.log1p(fuzzy), 1.0, float(n[3] > 0), float(not n[3] and not n[2]),
             np.log1p(quoted), np.log1p(len(at) - quoted), np.log1p(addressed), min(1.0, 20 * (n[3] + n[2]) / len(raw)),
         ]
 
@@ -123,21 +148,43 @@ class Model:
 N_FEATURES = 10
 
 
-def learn_lexicon(texts: list[str], toxic: np.ndarray, precision: float = 0.85) -> tuple[frozenset[str], tuple[str, ...]]:
-    """Stems and whole terms of which that share of documents is toxic; a stem that contains a shorter one is left out."""
-    word, stem = (Counter(), Counter()), (Counter(), Counter())
-    for t, y in zip(texts, toxic, strict=True):
-        ws = {w.strip(_STRIP) for w in t.lower().split()}
-        word[int(y)].update(ws)
-        stem[int(y)].update({w[:n] for w in ws for n in range(STEM[0], min(STEM[1], len(w)) + 1)})
-    n1 = int(toxic.sum())
-    share = n1 / max(1, len(toxic))
-    good = lambda a, c, least: {w for w, k in a.items() if k >= least and (k - share) / (k + c.get(w, 0)) >= precision}
+def bare_words(text: str) -> set[str]:
+    return {w.strip(_STRIP) for w in text.lower().split()}
+
+
+def beginnings(words: set[str]) -> set[str]:
+    return {w[:n] for w in words for n in range(STEM[0], min(STEM[1], len(w)) + 1)}
+
+
+def choose_lexicon(found: list[tuple[str, bool]]) -> tuple[frozenset[str], tuple[str, ...]]:
+    """From the forms (form, whether a stem) that are toxic enough; a stem that contains a shorter one is left out."""
     stems: set[str] = set()
-    for s in sorted(good(stem[1], stem[0], max(4, n1 // 200)), key=lambda s: (len(s), s)):
+    for s in sorted((f for f, stem in found if stem), key=lambda s: (len(s), s)):
         if not any(s[:n] in stems for n in range(STEM[0], len(s))):
             stems.add(s)
-    return frozenset(stems), tuple(sorted(good(word[1], word[0], max(4, n1 // 50))))
+    return frozenset(stems), tuple(sorted(f for f, stem in found if not stem))
+
+
+def misspelled(model: Model, text: str, rng: random.Random) -> str:
+    """The text with one random edit in each word that is a hit."""
+    out = []
+    for w in text.split():
+        core = w.strip(_STRIP)
+        if len(core) >= FUZZY_FROM and model.whole(core.lower()):
+            i, c = rng.randrange(len(core)), rng.choice("abcdefghijklmnopqrstuvwxyz")
+            edit = rng.choice([core[:i] + c + core[i + 1 :], core[:i] + c + core[i:], core[:i] + core[i + 1 :]])
+            w = w.replace(core, edit, 1)
+        out.append(w)
+    return " ".join(out)
+
+
+def quoted(model: Model, text: str, rng: random.Random) -> str:
+    """The text with one to three terms of the lexicon as quotations or reported speech."""
+    ws = text.split()
+    for _ in range(rng.randint(1, 3)):
+        term, report, (a, b) = rng.choice(model.terms), rng.choice(sorted(REPORT)), rng.choice(('""', "«»", "“”", ("", "")))
+        ws[(i := rng.randint(0, len(ws))) : i] = [report, a + term + b] if a == "" or rng.random() < 0.7 else [a + term + b]
+    return " ".join(ws)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
@@ -158,18 +205,96 @@ def fold() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS))
 
 
+def _tallied(batches: Iterator[tuple], names: tuple[str, ...], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """Counts of (form, mark), pre-aggregated in the worker; batches: iterables of (form, mark, one count for each name)."""
+
+    def flush() -> pa.RecordBatch:
+        rows = list(held.items())
+        return pa.RecordBatch.from_arrays([pa.array([f for (f, _), _ in rows], pa.string()), pa.array([m for (_, m), _ in rows], pa.int32()), *(pa.array([c[k] for _, c in rows], pa.int64()) for k in range(len(names)))], names=["form", "mark", *names])
+
+    held: dict[tuple[str, int], list[int]] = {}
+    for form, mark, *counts in batches:
+        at = held.setdefault((form, mark), [0] * len(names))
+        for k, c in enumerate(counts):
+            at[k] += c
+        if len(held) >= most:
+            yield flush()
+            held.clear()
+    yield flush()
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Model:
-    """Fits lexicon and weights on at most max_rows labelled rows outside the held-out fold, the ones whose doc_id hashes lowest (the bound of the sample is this parameter)."""
-    chosen = labels.where("doc_id is not null and toxic is not null").where(fold() != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    got = documents_only(docs).join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", "text"])
-    texts, y = got["text"].tolist(), (got["toxic"].to_numpy() > 0).astype(float)
-    model = Model(*learn_lexicon(texts, y))
-    x = np.array([model.features(t) for t in texts], float).reshape(-1, N_FEATURES)
-    # labelled rows seldom have misspelled terms: every tenth toxic row counts once more as if all its terms were misspelled
-    m = x[(y > 0) & (x[:, 3] > 0)][::10].copy()
-    m[:, 2], m[:, 5] = np.log1p(np.expm1(m[:, :3]).sum(1)), 1
-    m[:, [0, 1, 4, 9]] = 0
-    model.weights = fit_logistic(np.r_[x, m], np.r_[y, np.ones(len(m))])
+    """Fits lexicon and weights on at most max_rows labelled rows outside the held-out fold, the ones whose doc_id hashes lowest (the bound of the sample is this parameter).
+
+    Texts stay with the workers; the driver gets the forms that make the lexicon, the few known words that look like one of
+    them, and one row of features for each sampled document and each made-up variant of it.
+    """
+    chosen = labels.where("doc_id is not null and toxic is not null").where(fold() != 0).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    sample = materialise(documents_only(docs).join(F.broadcast(chosen), "doc_id"), "toxic-sample")
+    n, n1 = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    share, counts = n1 / max(1, n), "form string, mark int"
+    half = lambda d: zlib.crc32(str(d).encode()) >> 8 & 1
+    rows = lambda b: zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)
+
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for b in batches:
+                for d, text, y in rows(b):
+                    ws = bare_words(text)
+                    for mark, some in ((0, ws), (1, beginnings(ws))):
+                        for f in some:
+                            yield f, mark, y, 1 - y, (1 - y) * half(d)
+
+        yield from _tallied(each(), ("k1", "k0", "half"))
+
+    tally = materialise(sample.mapInArrow(forms, f"{counts}, k1 long, k0 long, half long").groupBy("form", "mark").agg(*(F.sum(c).alias(c) for c in ("k1", "k0", "half"))), "toxic-forms")
+    least = F.when(F.col("mark") == 1, max(4, n1 // 200)).otherwise(max(4, n1 // 50))
+    good = tally.where((F.col("k1") >= least) & ((F.col("k1") - share) / (F.col("k1") + F.col("k0")) >= PRECISION)).collect()
+    model = Model(*choose_lexicon([(r["form"], r["mark"] == 1) for r in good]))
+    toxic_docs = {(r["mark"], r["form"]): r["k1"] for r in good}
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([bool(model.trie.near(w, False)) for w in b.column("form").to_pylist()], pa.bool_()))
+
+    known = tally.where((F.col("mark") == 0) & (F.col("half") >= KNOWN)).select("form").mapInArrow(alike, "form string").collect()
+    model.known = frozenset(r["form"] for r in known if not model.whole(r["form"]))
+
+    def mistaken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for b in batches:
+                for d, text, y in rows(b):
+                    if not y and not half(d):
+                        hit = {e for w in bare_words(text) if len(w) >= FUZZY_FROM - 1 and w not in model.known and not model.whole(w) for e in model.trie.near(w)}
+                        for mark, entry in hit:
+                            yield entry, mark, 1
+
+        yield from _tallied(each(), ("n",))
+
+    wrong = sample.mapInArrow(mistaken, f"{counts}, n long").groupBy("form", "mark").agg(F.sum("n").alias("n")).collect()
+    # only one half of the clean documents was looked at
+    false = {(r["mark"], r["form"]): 2 * r["n"] for r in wrong}
+    weigh = lambda k, n: float(np.clip(np.log((k + 0.5) / (n + 0.5)) / FULL_EVIDENCE, 0, 1)) if k > 3 * n else 0.0
+    evidence = {e: weigh(k, false.get(e, 0)) for e, k in toxic_docs.items() if e[1] in (model.stems if e[0] else model.exact)}
+    model = Model(model.stems, model.terms, known=model.known, evidence=evidence)
+
+    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, label = [], []
+            for d, text, y in rows(b):
+                rng, texts = random.Random(d), [(text, y)]
+                if y and rng.random() < 0.7:
+                    texts.append((misspelled(model, text, rng), 1))
+                elif not y and model.terms and rng.random() < 0.2:
+                    texts.append((quoted(model, text, rng), 0))
+                x += [model.features(t) for t, _ in texts]
+                label += [v for _, v in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+
+    got = sample.mapInArrow(variants, "y int, x array<double>").collect()
+    got.sort()
+    model.weights = fit_logistic(np.array([r["x"] for r in got], float).reshape(-1, N_FEATURES), np.array([r["y"] for r in got], float))
+    discard(sample, tally)
     return model
 
 
@@ -177,7 +302,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Data
     """doc_id, held_out, score, predicted of every document.
 
     Null and empty texts have no hit and the score of a text without hits. Repeated rows are scored each; a label is
-    toxic if any row of its doc_id says so. Without training rows every score is a half. Other columns are no inputs.
+    toxic if any row of its doc_id says so. A row without a doc_id is scored and in no fold (held_out false). Without
+    training rows every score is a half; an empty table gives no rows. Other columns are no inputs.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -191,7 +317,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Data
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(x), pa.float64())], schema=schema)
 
     out = documents_only(docs).mapInArrow(judge, "doc_id long, score double")
-    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -395,10 +395,11 @@ def test_levenshtein_trie():
         return d[-1]
 
     terms = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 6))) for _ in range(12)})
-    trie = toxicity.Trie(terms)
+    trie, stems = toxicity.Trie(terms), toxicity.Trie((), terms)
     for _ in range(2000):
         w = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 7)))
-        assert trie.within_one(w) == any(distance(w, t) <= 1 for t in terms)
+        assert {t for _, t in trie.near(w)} == {t for t in terms if distance(w, t) <= 1} and bool(trie.near(w, False)) == bool(trie.near(w))
+        assert {t for _, t in stems.near(w)} == {t for t in terms if any(distance(w[:k], t) <= 1 for k in range(len(w) + 1))}
 
 
 def test_toxicity(spark):
@@ -418,7 +419,19 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.toxicity(frame(spark, docs), labels.where("false")).collect()} == {0.5}
 
 
-def test_quotation_is_not_abuse():
+def test_misspelled_and_quoted_terms(spark):
+    # held-out documents whose only hits have one edit, or stand in quotations
+    rng, bad = random.Random(19), ["scumbag", "moronic", "stupid", "worthless", "idiot"]
+    docs = [(i, " ".join([prose(rng, 20), *([rng.choice(bad), prose(rng, 5), rng.choice(bad)] if i % 4 == 0 else []), prose(rng, 20)])) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    edits = [f"{b[:k]}x{b[k + r:]}" for b in bad for k in range(1, len(b)) for r in (0, 1)] + [b[:k] + b[k + 1 :] for b in bad for k in range(len(b))]
+    docs += [(1000 + i, f"{prose(rng, 15)} {e} {prose(rng, 9)} {rng.choice(edits)}") for i, e in enumerate(edits)]
+    docs += [(2000 + i, f'{prose(rng, 15)} he said "{b}" {prose(rng, 15)}') for i, b in enumerate(bad)] + [(3000 + i, prose(rng, 40)) for i in range(200)]
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(frame(spark, docs), labels).collect()}
+    assert sum(got[1000 + i] for i in range(len(edits))) >= 0.9 * len(edits)
+    assert not any(got[2000 + i] for i in range(len(bad))) and sum(got[3000 + i] for i in range(200)) <= 8
+    model = toxicity.train(frame(spark, docs), labels)
+    assert model.weights[2] > 0 and model.weights[6] < model.weights[7]
     m = toxicity.Model(frozenset(), ("stupid",))
     abuse, quotation = m.features("you are so stupid"), m.features('he said "stupid" there')
     assert abuse[6] == 0 < abuse[8] and quotation[6] > 0 == quotation[7]
@@ -511,3 +524,40 @@ def test_url_rules_and_templates(spark):
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule) and (verdict is None or got[i].verdict == verdict)
     assert got[200].template == "/de/{n}.html" and got[200].verdict == "block" and got[400].verdict == "allow"
     assert url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, host string").where("false")).count() == 0
+
+
+def test_hard_tables(spark):
+    """Every operator on null ids, large ids, null and empty texts, repeated rows, a long text, clashing names, and on no rows."""
+    rng = random.Random(20)
+    passage = prose(rng, 80, 10**6)
+    long = " ".join(prose(rng, 400, 10**6) for _ in range(500)) + "x" * 40_000
+    docs = [(None, f"{prose(rng, 30)} {passage} call +1 469 555 8958"), (None, None), (2**60 + 1, passage + " a@b.com"), (2**60 + 1, passage + " a@b.com"), (5, ""), (5, "a"), (None, ""), (7, long), (None, long), (9, "y" * 70_000)]
+    schema = "doc_id long, text string, uid long, n int, key string, found int, akey long, ids string, n_entities int, score double, spans int, attempt int, bands int, row string"
+    df = spark.createDataFrame([(i, t, 1, 1, "k", 1, 1, "i", 1, 0.5, 1, 1, 1, "r") for i, t in docs], schema)
+    labels = spark.createDataFrame([(5, 1, 0), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, passage), (None, passage), (2, None)], "item_id long, text string")
+    e = encoding.Encoder(packing.VOCABULARY).library
+    sizes = Counter((i, len((t or "").encode())) for i, t in docs)
+    runs = {
+        "tokens": lambda d: token_counts.token_counts(d), "pii": lambda d: pii.with_surrogates(d, "key"), "near": near_dedup.near_duplicates, "bytes": suffix_dedup.without_repeated_bytes, "toxic": lambda d: toxicity.toxicity(d, labels),
+        "packed": packing.packed, "words": substring_dedup.without_repeats, "leaks": lambda d: decontaminate.leaks(d, bench), "quality": lambda d: quality.quality_rules(d, labels),
+    }
+    got = {name: run(df).collect() for name, run in runs.items()}
+    assert Counter((r.doc_id, r.n_bytes) for r in got["tokens"]) == sizes == Counter((r.doc_id, r.n_bytes) for r in got["bytes"])
+    for name in ("pii", "toxic", "words", "quality"):
+        assert Counter(r.doc_id for r in got[name]) == Counter(i for i, _ in docs), name
+    assert {r.doc_id: r.class_id for r in got["near"]} == {5: 5, 7: 7, 9: 9, 2**60 + 1: 2**60 + 1}
+    assert all(r.held_out is not None for r in got["toxic"]) and not any(r.held_out for r in got["toxic"] if r.doc_id is None)
+    assert all(r.n_removed == 0 for r in got["words"] if r.doc_id is None)
+    lengths = Counter()
+    for r in got["packed"]:
+        lengths[r.doc_id] += r.length
+    want = Counter()
+    for i, t in docs:
+        want[i] += len(e.encode(t or "", add_special_tokens=False).ids) + 1
+    assert lengths == want
+    assert Counter(r.doc_id for r in got["leaks"]) == Counter([None, 2**60 + 1, 2**60 + 1])
+    for name, run in runs.items():
+        assert run(df.where("false")).count() == 0, name
+    pages = spark.createDataFrame([(None, None, 1), (None, "http://a.org/x", 1), (3, "", 1), (3, "", 1)], "page_id long, url string, n int")
+    assert url_filter.judge_urls(pages).count() == 4
