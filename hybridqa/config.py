@@ -33,6 +33,7 @@ class Config:
     cache: bool = True
     cache_size: int = 256
     embed_dims: int = 256
+    #: Fixed value.
     fallback_message: str = "माफ करा, मला या प्रश्नाची माहिती माहित नाही. कृपया दुसरा प्रश्न विचारा किंवा शाळेच्या कार्यालयात संपर्क करा."
 
 

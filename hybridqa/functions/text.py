@@ -34,6 +34,7 @@ def longest_first(literals: tuple[str, ...]) -> str:
     return "|".join(escaped(x) for x in sorted(literals, key=len, reverse=True))
 
 
+#: Bracketed noise, and any bracketed text.
 BRACKET_NOISE = rf"[(\[][{SPACE}{WORD}]*?(?:{'|'.join(NOISE)})[{SPACE}{WORD}]*?[)\]]"
 BRACKETS = r"\[[^\]]*\]|\([^)]*\)"
 
@@ -45,7 +46,9 @@ def nfc(s: pd.Series) -> pd.Series:
 
 
 def composed(c: Column) -> Column:
-    return nfc(c)
+    """The normal form; ASCII is in it already and never leaves the JVM's buffers but as a null."""
+    ascii_only = c.rlike(r"^\p{ASCII}*$")
+    return F.when(ascii_only, c).otherwise(nfc(F.when(~ascii_only, c)))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -68,8 +71,12 @@ def strip_brackets(c: Column) -> Column:
 
 
 def strip_phrases(c: Column) -> Column:
-    """Without word boundaries: `you` goes out of `your` too."""
-    return F.regexp_replace(c, f"(?iu){longest_first(PHRASES)}", " ")
+    """Without word boundaries: `you` goes out of `your` too. Only texts with a part of a phrase go through the long pattern."""
+    low = F.lower(c)
+    hint = c.contains("ſ")
+    for part in ("thank", "subscribe", "music", "applause", "laughter", "noise", "silence", "inaudible", "crosstalk", "aaj tak", "you", "so,"):
+        hint = hint | low.contains(part)
+    return F.when(hint, F.regexp_replace(c, f"(?iu){longest_first(PHRASES)}", " ")).otherwise(c)
 
 
 def normalise_devanagari(c: Column) -> Column:
@@ -87,9 +94,14 @@ def collapse_space(c: Column) -> Column:
     return strip(F.regexp_replace(c, f"[{SPACE}]+", " "))
 
 
+def collapse_marks(c: Column) -> Column:
+    """Runs of one punctuation mark (the pattern is a fixed value)."""
+    return F.regexp_replace(c, r"([।?!,.\-])\1+", "$1")
+
+
 def collapse(c: Column) -> Column:
-    """Runs of five or more of a character, runs of a punctuation mark, and white space."""
-    return collapse_space(F.regexp_replace(F.regexp_replace(c, r"(?d)(.)\1{4,}", "$1"), r"([।?!,.\-])\1+", "$1"))
+    """Runs of five or more of a character (a fixed value), runs of a punctuation mark, and white space."""
+    return collapse_space(collapse_marks(F.regexp_replace(c, r"(?d)(.)\1{4,}", "$1")))
 
 
 def garbage(c: Column) -> Column:

@@ -18,6 +18,7 @@ SUFFIXES = (
     "hoti", "hota", "hote", "hotya", "hovo", "have", "hava",
 )
 STEM_LEAST = 4
+#: Fixed value: what parts words.
 PUNCTUATION = r"[\s,।;:!?'\"\.\(\)\[\]\{\}<>\/\\|@#\$%\^&\*\-=\+~`_…–—‘’“”।॥]+"
 #: A syllable: a chain of consonant and virama that ends in a consonant with its signs, in an independent vowel with
 #: its signs, or in any other character of the block; or such a chain at the end of the run.
@@ -39,15 +40,25 @@ def latin_words(c: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), 0), F.lower), lambda w: F.length(w) > 1)
 
 
-def tokens(c: Column, drop_stopwords: bool = False, compose: bool = True) -> Column:
-    """All tokens in text order; a null or blank text has none. compose: False skips the normal form for texts known to be in it."""
+def raw_tokens(c: Column, compose: bool = True) -> Column:
+    """Syllables and lower-cased Latin words of two letters or more, before stems and stopwords. compose: False skips the normal form for texts known to be in it."""
     text = F.coalesce(composed(c) if compose else c, F.lit(""))
     text = F.regexp_replace(F.regexp_replace(text, f"(?iu){longest_first(CUT)}", " "), PUNCTUATION, " ")
     found = F.regexp_extract_all(text, F.lit(f"[A-Za-z]+|{SYLLABLE}"), 0)
-    found = F.filter(F.transform(found, lambda t: F.when(t.rlike("^[A-Za-z]"), F.lower(t)).otherwise(t)), lambda t: (F.length(t) > 1) | ~t.rlike("^[a-z]"))
+    return F.filter(F.transform(found, lambda t: F.when(t.rlike("^[A-Za-z]"), F.lower(t)).otherwise(t)), lambda t: (F.length(t) > 1) | ~t.rlike("^[a-z]"))
+
+
+def stemmed(t: Column) -> Column:
+    """The token of a raw one: Latin ones are stemmed."""
+    return F.when(t.rlike("^[a-z]"), stem(t)).otherwise(t)
+
+
+def tokens(c: Column, drop_stopwords: bool = False, compose: bool = True) -> Column:
+    """All tokens in text order; a null or blank text has none."""
+    found = raw_tokens(c, compose)
     if drop_stopwords:
         found = F.filter(found, lambda t: ~t.isin(*STOPWORDS))
-    return F.transform(found, lambda t: F.when(t.rlike("^[a-z]"), stem(t)).otherwise(t))
+    return F.transform(found, stemmed)
 
 
 def words(c: Column) -> Column:
@@ -64,5 +75,5 @@ def has_latin(c: Column) -> Column:
 
 
 def gate_tokens(c: Column) -> Column:
-    """The tokens of the structural gate: between punctuation and white space, lower-cased."""
+    """The tokens of the structural gate: between punctuation and white space (a fixed value), lower-cased."""
     return F.filter(F.split(F.lower(c), rf"[{SPACE},।;:!?'\"\.\(\)\[\]\{{\}}<>\/\\|@#$%\^&\*\-=\+~`_…।॥]+"), lambda t: t != "")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hybridqa.cluster import ship
+from hybridqa.functions.tokens import tokens
 
 #: Bytes of the vectors that are sent to all workers at once; more are taken in several blocks.
 BLOCK_BYTES = 16_000_000
@@ -38,6 +40,26 @@ def dense_vectors(docs: DataFrame, dims: int = 256) -> DataFrame:
     return docs.select("doc").join(sparse, "doc", "left").select("doc", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dims)).otherwise(vec).alias("vec"))
 
 
+@dataclass(frozen=True)
+class HashedEmbedder:
+    """The stand-in as an Embedder: hashed counts of tokens, of unit length."""
+
+    dims: int = 256
+
+    def embed(self, texts: DataFrame) -> DataFrame:
+        d = dense_vectors(texts.select(F.col("id").alias("doc"), tokens(F.col("text")).alias("tokens")), self.dims)
+        norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+        return d.withColumn("norm", norm).select(F.col("doc").alias("id"), F.transform("vec", lambda x: F.when(F.col("norm") == 0, 0.0).otherwise(x / F.col("norm"))).alias("vec"))
+
+
+def pooled(texts: DataFrame, embedder: Embedder, how: str = "max") -> DataFrame:
+    """doc, vec: the vectors of the texts (doc, pos, text) of one document pooled to one of unit length."""
+    keyed = texts.select(F.concat_ws("#", "pos", "doc").alias("id"), "text")
+    vec = embedder.embed(keyed).select(F.regexp_replace("id", "^[0-9]+#", "").alias("id"), F.substring_index("id", "#", 1).cast("long").alias("pos"), "vec")
+    long = pool_vectors(vec, how)
+    return long.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"]).alias("vec")).withColumnRenamed("id", "doc")
+
+
 def pool_vectors(df: DataFrame, how: str = "max") -> DataFrame:
     """id, dim, v: the vectors (id, pos, vec) of one id pooled for each dimension and brought to unit length (all zeros stay)."""
     long = df.select("id", "pos", F.posexplode("vec").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
@@ -65,8 +87,9 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[list[int], np.ndarray]]:
             yield [r["q"] for r in rows], np.array([r["vec"] for r in rows], float)
 
 
-def cosine_scores(queries: DataFrame, docs: DataFrame, best: int | None = None) -> DataFrame:
-    """q, doc, dense: cosine of each query (q, vec) with each document (doc, vec); best: only so many for each query and Arrow batch.
+def cosine_scores(queries: DataFrame, docs: DataFrame, best: int | None = None, digits: int | None = None) -> DataFrame:
+    """q, doc, dense: cosine of each query (q, vec) with each document (doc, vec); best: only so many for
+    each query and Arrow batch, and all that are equal to the last of them after rounding to so many digits.
 
     The queries are a stated set: they go to the workers in blocks of bounded size, each block is held against all
     documents by one matrix product a batch. A zero vector has cosine 0.
@@ -91,6 +114,8 @@ def cosine_scores(queries: DataFrame, docs: DataFrame, best: int | None = None)
                     dot = m[i : i + 64] @ v.T
                     norm = mn[i : i + 64, None] * vn
                     cos = np.divide(dot, norm, out=np.zeros_like(dot), where=norm > 0)
+                    if digits is not None:
+                        cos = np.round(cos, digits)
                     if best is not None and best < len(docs):
                         kth = np.partition(cos, len(docs) - best, 1)[:, len(docs) - best][:, None]
                         at = np.nonzero(cos >= kth)

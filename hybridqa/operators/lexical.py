@@ -43,7 +43,9 @@ def with_idf(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame) -> LexicalIndex:
-    """docs: doc, tokens. A corpus without documents raises when its index is asked for a score."""
+    """docs: doc, tokens. A corpus without documents raises."""
+    if docs.isEmpty():
+        raise ValueError("no documents to index")
     postings = term_freq(docs)
     lengths = doc_lengths(docs)
     stats = corpus_stats(lengths)
@@ -51,10 +53,12 @@ def build(docs: DataFrame) -> LexicalIndex:
 
 
 def scores(queries: DataFrame, index: LexicalIndex, cfg: Config = Config()) -> DataFrame:
-    """q, doc, bm25 of every document that shares a term. queries: q, tokens; repeated terms count once.
+    """q, doc, bm25 of every document that shares a term; an index that isn't built raises. queries: q, tokens; repeated terms count once.
 
     Query terms meet the postings in an equi-join on term, so documents without a common term are never touched.
     """
+    if index is None:
+        raise ValueError("the index is not built")
     terms = queries.select("q", F.explode(F.array_distinct("tokens")).alias("term"))
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("idf") * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * dl / F.col("avg_dl")))
@@ -64,6 +68,18 @@ def scores(queries: DataFrame, index: LexicalIndex, cfg: Config = Config()) -> D
     )
 
 
+def scores_of_set(queries: DataFrame, docs: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """As scores over a corpus (doc, tokens) that has no index: only the queries' terms become postings, which carry their document's length."""
+    terms = queries.select("q", F.explode(F.array_distinct("tokens")).alias("term"))
+    wanted = terms.select("term").distinct()
+    stats = corpus_stats(doc_lengths(docs))
+    postings = docs.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+    idf = doc_freq(postings).crossJoin(F.broadcast(stats)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"), "avg_dl")
+    tf, dl = F.col("tf"), F.col("dl")
+    part = F.col("idf") * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * dl / F.col("avg_dl")))
+    return terms.join(idf, "term").join(postings, "term").groupBy("q", "doc").agg(F.sum(part).alias("bm25"))
+
+
 def best_form(by_form: DataFrame) -> DataFrame:
     """Of the scores of a query's forms (q, form, doc, bm25) the best for each document."""
     return by_form.groupBy("q", "doc").agg(F.max("bm25").alias("bm25"))

@@ -91,7 +91,7 @@ def collapse_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, " + "".join("regexp_replace(" for _ in range(6)) + "text" + "".join(f", '[{c}]{{2,}}', '{c}', 'g')" for c in ("।", "?", "!", ",", ".", r"\-")).replace(r"'\-', 'g'", "'-', 'g'") + " AS cleaned FROM documents")
 def collapse_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"([।?!,.\-])\1+", "$1").alias("cleaned"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.collapse_marks(F.col("text")).alias("cleaned"))
 
 
 @query(f"""WITH c AS (SELECT conv_id, turn, {_COLLAPSED} AS t FROM conversations)
@@ -139,8 +139,10 @@ _CUT = f"regexp_replace(text, {quoted('(?i)' + T.longest_first(K.CUT))}, ' ', 'g
 @query(f"""WITH w AS (SELECT doc_id, unnest({LATIN.replace('(text', '(t')}) AS w FROM (SELECT doc_id, {_CUT} AS t FROM documents))
 SELECT doc_id, {_stem_sql('w')} AS token, count(*) AS n FROM w GROUP BY ALL""")
 def tokens_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tokens; the documents are in normal form and have no Devanagari."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(K.tokens(F.col("text"), compose=False)).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    """All tokens. Equal words of a document are counted before they are stemmed, and each different word is stemmed once."""
+    ship(spark)
+    counts = table(spark, sf_dir, "documents").select("doc_id", F.explode(K.raw_tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return counts.select("doc_id", K.stemmed(F.col("word")).alias("token"), "n").groupBy("doc_id", "token").agg(F.sum("n").alias("n"))
 
 
 @query("SELECT doc_id, regexp_matches(text, '[ऀ-ॿ]') AS has_devanagari, regexp_matches(text, '[A-Za-z]') AS has_latin FROM documents")
@@ -157,11 +159,11 @@ def vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy.vocabulary(table(spark, sf_dir, "documents"))
 
 
-@query("SELECT a.n_name AS a, b.n_name AS b, CASE WHEN levenshtein(lower(a.n_name), lower(b.n_name)) <= 4 THEN levenshtein(lower(a.n_name), lower(b.n_name)) ELSE -1 END::BIGINT AS distance FROM nation a, nation b")
+@query("SELECT n_name AS a, r_name AS b, CASE WHEN levenshtein(lower(n_name), lower(r_name)) <= 6 THEN levenshtein(lower(n_name), lower(r_name)) ELSE -1 END::BIGINT AS distance FROM nation JOIN region ON n_regionkey = r_regionkey")
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounded edit distance of all pairs of the 25 nations."""
-    n = table(spark, sf_dir, "nation")
-    return n.select(F.col("n_name").alias("a")).crossJoin(n.select(F.col("n_name").alias("b"))).select("a", "b", F.levenshtein(F.lower("a"), F.lower("b"), 4).cast("long").alias("distance"))
+    """Bounded edit distance of each nation from its region."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select(F.col("n_name").alias("a"), F.col("r_name").alias("b"), fuzzy.bounded_distance(F.col("n_name"), F.col("r_name"), 6).alias("distance"))
 
 
 @query(f"""WITH v AS ({_VOCAB}), w AS (SELECT item_id, generate_subscripts({WORDS}, 1) AS pos, unnest({WORDS}) AS w FROM benchmark),
@@ -253,7 +255,7 @@ def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.scores(_items(spark, sf_dir), lexical.build(_docs(spark, sf_dir))).withColumn("bm25", F.round("bm25", 6))
+    return lexical.scores_of_set(_items(spark, sf_dir), T.cut(_docs(spark, sf_dir))).withColumn("bm25", F.round("bm25", 6))
 
 
 @query(f"WITH {_BM25} SELECT q AS item_id, doc AS doc_id, bm25, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY bm25 DESC, doc) AS rank FROM b) WHERE rank <= 5")
@@ -313,7 +315,7 @@ def vec_pool_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT q, doc, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, doc) AS rank FROM c) WHERE rank <= 5""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    got = dense.cosine_scores(e.select(F.col("vec_id").alias("q"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")), best=20)
+    got = dense.cosine_scores(e.select(F.col("vec_id").alias("q"), F.col("embedding").alias("vec")), e.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec")), best=5, digits=6)
     return lexical.top_k(got.select("q", "doc", F.round("dense", 6).alias("cosine")), 5, "cosine")
 
 
@@ -339,12 +341,13 @@ def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused(ranks: DataFrame) -> DataFrame:
-    return fusion.rrf(ranks.select("q", "doc", F.col("bm25_rank").alias("rank")), ranks.select("q", "doc", F.col("dense_rank").alias("rank")))
+    """The pool of each item: its first candidates by fused ranks."""
+    return fusion.fused(ranks.select("q", "doc", "bm25_rank", "dense_rank"), CFG, CFG.top_k * CFG.pool_multiplier)
 
 
 @query(f"WITH {_FRAME} SELECT q AS item_id, doc AS doc_id, bm25_rank, dense_rank, round(rrf, 9) AS rrf, rrf_rank FROM fu WHERE rrf_rank <= 30")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(_ranks(spark, sf_dir)).where("rrf_rank <= 30").select(F.col("q").alias("item_id"), F.col("doc").alias("doc_id"), "bm25_rank", "dense_rank", F.round("rrf", 9).alias("rrf"), "rrf_rank")
+    return _fused(_ranks(spark, sf_dir)).select(F.col("q").alias("item_id"), F.col("doc").alias("doc_id"), "bm25_rank", "dense_rank", F.round("rrf", 9).alias("rrf"), "rrf_rank")
 
 
 @query(f"WITH {_FRAME} SELECT q AS item_id, round(rrf, 9) AS top_score, {_TIER % ('rrf', 'rrf')} AS tier FROM fu WHERE rrf_rank = 1")
@@ -377,7 +380,7 @@ aj AS (SELECT *, rrf * CASE action WHEN 'boost' THEN 1.5::DOUBLE WHEN 'penalize'
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), intent(F.col("text")).alias("doc_intent"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), intent(F.col("text")).alias("query_intent"))
-    pool = _fused(_ranks(spark, sf_dir)).where(F.col("rrf_rank") <= CFG.top_k * CFG.pool_multiplier).join(docs, "doc").join(items, "q")
+    pool = _fused(_ranks(spark, sf_dir)).join(docs, "doc").join(items, "q")
     return fusion.rerank_by_intent(pool)
 
 
@@ -477,8 +480,10 @@ def answer_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, row_number() OVER (PARTITION BY event_type, props ORDER BY ts, event_id) > 1 AS cached FROM events")
 def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the same key was asked before, with a cache that never forgets; the bounded one is in streaming."""
-    w = Window.partitionBy("event_type", "props").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", (F.row_number().over(w) > 1).alias("cached"))
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "props", "ts")
+    first = events.groupBy("event_type", "props").agg(F.min(F.struct("ts", "event_id")).alias("first")).select(F.col("event_type").alias("kind"), F.col("props").alias("key"), "first")
+    same = F.col("event_type").eqNullSafe(F.col("kind")) & F.col("props").eqNullSafe(F.col("key"))
+    return events.join(first, same).select("event_id", (F.col("event_id") != F.col("first.event_id")).alias("cached"))
 
 
 @query("SELECT count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS fallbacks, round(avg((event_type = 'error')::INT), 6) AS fallback_rate, round(avg(value), 6) AS avg_latency FROM events")
@@ -512,11 +517,15 @@ _EXPECTED = "x AS (SELECT item_id AS q, doc_id AS doc FROM benchmark JOIN docume
 _FOUND = f"{_POOL}, {_EXPECTED}, br AS (SELECT x.q, min(rn.rank) AS rank FROM x LEFT JOIN rn ON rn.q = x.q AND rn.doc = x.doc AND rn.rank <= 5 GROUP BY 1)"
 
 
-def _best_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The golden documents of an item are those that contain it: few passages of bounded length, streamed over all documents."""
+def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The golden documents (q, doc) of an item are those that contain it: few passages of bounded length, streamed over all documents."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("passage"))
-    expected = table(spark, sf_dir, "documents").join(items, F.contains(F.col("text"), F.col("passage"))).select("q", F.col("doc_id").alias("doc"))
-    return evaluate.best_expected_rank(_reranked(spark, sf_dir).where("rank <= 5").select("q", "doc", "rank"), expected)
+    return table(spark, sf_dir, "documents").join(items, F.contains(F.col("text"), F.col("passage"))).select("q", F.col("doc_id").alias("doc"))
+
+
+def _best_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank of each item's best golden document."""
+    return evaluate.best_expected_rank(_reranked(spark, sf_dir).where("rank <= 5").select("q", "doc", "rank"), _expected(spark, sf_dir))
 
 
 @query(f"""WITH {_FOUND} SELECT count(*) AS n, count(*) FILTER (WHERE rank <= 1) AS hits_at_1, count(*) FILTER (WHERE rank <= 3) AS hits_at_3, count(*) FILTER (WHERE rank <= 5) AS hits_at_5,
@@ -531,9 +540,21 @@ def misses_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.first_misses(_best_ranks(spark, sf_dir)).select(F.col("q").alias("item_id"), F.coalesce("rank", F.lit(0)).cast("long").alias("rank"))
 
 
-@query(f"WITH {_POOL} SELECT {_TIER % ('adjusted', 'adjusted')} AS tier, count(*) AS n FROM rn WHERE rank = 1 GROUP BY 1")
+@query(f"WITH {_FRAME} SELECT {_TIER % ('rrf', 'rrf')} AS tier, count(*) AS n FROM fu WHERE rrf_rank = 1 GROUP BY 1")
 def tier_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.tier_distribution(_reranked(spark, sf_dir).where("rank = 1").select(fusion.tier(F.col("adjusted")).alias("tier")))
+    """Tiers of the fused score, before intents change it."""
+    return evaluate.tier_distribution(_fused(_ranks(spark, sf_dir)).where("rrf_rank = 1").select(fusion.tier(F.col("rrf")).alias("tier")))
+
+
+@query(f"""WITH {_POOL}, {_EXPECTED}, e AS (SELECT q, min(doc) AS doc FROM x GROUP BY 1), t AS (SELECT e.q, fu.rrf < {CFG.threshold_low} AS low, rn.doc = e.doc AS hit FROM e JOIN fu ON fu.q = e.q AND rrf_rank = 1 JOIN rn ON rn.q = e.q AND rn.rank = 1)
+SELECT count(*) AS n, round(avg((hit AND NOT low)::INT), 6) AS accuracy, round(avg(low::INT), 6) AS fallback_rate FROM t""")
+def answer_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """End to end: the first candidate, refused in the low tier, against the first document that has the item."""
+    best = _reranked(spark, sf_dir)
+    low = best.groupBy("q").agg((F.max("rrf") < CFG.threshold_low).alias("is_fallback"))
+    chosen = best.where("rank = 1").join(low, "q").select("q", F.when(~F.col("is_fallback"), F.col("doc")).alias("chosen"), "is_fallback")
+    got = evaluate.answer_quality(chosen.join(_expected(spark, sf_dir).groupBy("q").agg(F.min("doc").alias("expected")), "q"))
+    return got.select("n", F.round("accuracy", 6).alias("accuracy"), F.round("fallback_rate", 6).alias("fallback_rate"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

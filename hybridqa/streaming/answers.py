@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -75,3 +76,43 @@ def lru_stream(requests: DataFrame, size: int = Config().cache_size) -> DataFram
         yield out[["instance", "seq", "key", "cached"]]
 
     return requests.groupBy("instance").applyInPandasWithState(run, "instance string, seq long, key string, cached boolean", "keys array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
+class Service:
+    """One utterance at a time over an index: a thin facade for a web server or a shell. Answers are kept in an exact LRU cache."""
+
+    def __init__(self, index: Index, cfg: Config = Config(), mode: str = "direct", **plug_ins: Any) -> None:
+        self.index, self.cfg, self.mode, self.plug_ins = index, cfg, mode, plug_ins
+        self.kept: OrderedDict[str, dict[str, Any]] = OrderedDict()
+        self.requests = self.fallbacks = self.hits = 0
+        self.seconds = 0.0
+
+    def answer_one(self, text: str | None) -> dict[str, Any]:
+        began = time.time()
+        key = f"{self.mode}:{(text or '').strip()}"
+        found = self.kept.get(key) if self.cfg.cache else None
+        if found:
+            self.kept.move_to_end(key)
+            out = found | {"cached": True}
+        else:
+            spark = self.index.articles.sparkSession
+            out = answer(spark.createDataFrame([(1, text)], "q long, raw string"), self.index, self.cfg, self.mode, **self.plug_ins).first().asDict()
+            if self.cfg.cache and not out["is_fallback"]:
+                self.kept[key] = out
+                if len(self.kept) > self.cfg.cache_size:
+                    self.kept.popitem(last=False)
+        out = out | {"latency_s": time.time() - began}
+        self.requests, self.fallbacks, self.hits, self.seconds = self.requests + 1, self.fallbacks + out["is_fallback"], self.hits + out["cached"], self.seconds + out["latency_s"]
+        return out
+
+    def health(self) -> dict[str, Any]:
+        return {"status": "ok", "articles": self.index.articles.count(), "mode": self.mode}
+
+    def stats(self) -> dict[str, Any]:
+        n = max(1, self.requests)
+        return {"requests": self.requests, "fallbacks": self.fallbacks, "fallback_rate": self.fallbacks / n, "cache_hits": self.hits, "cache_size": len(self.kept), "avg_latency_s": self.seconds / n}
+
+    def clear_cache(self) -> int:
+        n = len(self.kept)
+        self.kept.clear()
+        return n

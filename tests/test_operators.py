@@ -9,11 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from hybridqa import config
-from hybridqa.functions.text import ship
+from hybridqa.cluster import ship
 from hybridqa.operators import dense, evaluate, fusion, fuzzy, gates, lexical, select
-from hybridqa.plans.answer import answer, as_json, build_index, spoken
+from hybridqa.plans.answer import Index, answer, as_json, build_index, speech, spoken
 from hybridqa.sources import kb
-from hybridqa.streaming.answers import LRU, lru_hits, lru_stream, running_stats, serve
+from hybridqa.streaming.answers import LRU, Service, lru_hits, lru_stream, running_stats, serve
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -144,6 +144,38 @@ def test_answers(spark, articles, tmp_path):
         build_index(articles.where("false"))
 
 
+class Choosy:
+    """Says the number of the note that has the enquiry's first word; fails on another, and doesn't know the rest."""
+
+    def chat(self, system, user):
+        *notes, enquiry = user.split("\n")
+        word = enquiry.split()[1]
+        if word == "परीक्षा":
+            raise OSError
+        hit = [i for i, n in enumerate(notes, 1) if word in n] if word != "फी" else []
+        return f"हेतू: WHAT\nसंदर्भ: {hit[0] if hit else 0}"
+
+
+def test_model_mode_saved_index_and_service(spark, articles, tmp_path):
+    index = build_index(articles, config.Config(pool="mean"))
+    index.save(f"file://{tmp_path}/index")
+    again = Index.load(spark, f"file://{tmp_path}/index")
+    raw = spark.createDataFrame([(1, "प्रवेश कशी घ्यायची"), (2, "परीक्षा कधी आहे"), (3, "फी किती आहे"), (4, "प्रवेश कशी घ्यायची"), (5, "")], "q long, raw string")
+    got = {r.q: r for r in answer(raw, again, mode="model", client=Choosy, retries=0).collect()}
+    assert [got[q].fallback_reason for q in (1, 2, 3, 4, 5)] == ["", "llm_error", "llm_dont_know", "", "garbage_input"]
+    assert got[1].chosen_qa_id == "qa_0" and got[1].chosen_context_idx >= 1 and (got[1].cached, got[4].cached, got[5].cached) == (False, True, False)
+    with pytest.raises(ValueError):
+        answer(raw, again, mode="model")
+    scored = {r.q: r.chosen_qa_id for r in answer(raw, index, config.from_tree({"query_validation": {"score": {"min_bm25_raw": 0.5, "min_reranker_score": 0.0}}}), "scored", scorer=Overlap).collect()}
+    assert scored[2] == "qa_1"
+    service = Service(again, config.Config(cache_size=1))
+    first, second = service.answer_one("फी किती आहे"), service.answer_one("फी किती आहे")
+    assert first["chosen_qa_id"] == "qa_2" and (first["cached"], second["cached"]) == (False, True) and service.answer_one(None)["is_fallback"]
+    assert service.stats()["requests"] == 3 and service.stats()["cache_hits"] == 1 and service.clear_cache() == 1 and service.health()["articles"] == 6
+    sound = {r.q: r.audio for r in speech(answer(raw, again), lambda: lambda t: t.encode()).collect()}
+    assert bytes(sound[2]).decode() == "मार्च" and 5 not in sound
+
+
 def test_stream_of_utterances(spark, articles, tmp_path):
     src, seen = tmp_path / "in", []
     spark.createDataFrame([(1, "फी किती आहे")], "q long, raw string").write.json(f"file://{src}")

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from hybridqa.cluster import ship
 from hybridqa.functions import intent as I
 from hybridqa.functions import text as T
 from hybridqa.functions import tokens as K
@@ -15,7 +16,7 @@ from hybridqa.functions.translit import forms, to_devanagari, to_roman
 
 @pytest.fixture(scope="module", autouse=True)
 def _ship(spark):
-    T.ship(spark)
+    ship(spark)
 
 
 def column(spark, values, expression):
