@@ -25,8 +25,8 @@ SIMILAR = 0.8
 #: Sketches of MINIMA shingles each. Two texts with a share j of common shingles agree in a sketch at about j ** MINIMA.
 #: Single words changed at random in a tenth of a text leave j = 0.42, met in 97 of 100 cases (measured recall: README).
 SKETCHES, MINIMA = 48, 3
-#: Members of a bucket that take the first turn in being compared with those of other components.
-TURN = 8
+#: Members of a bucket that take the first turn in being compared with those of other components, and the growth of later turns.
+TURN, GROWTH = 16, 32
 #: In buckets with more members outside the largest component, pairs are ruled out by their bags of words before texts are fetched.
 HOT = 64
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -205,10 +205,15 @@ def _joined(keys: DataFrame, docs: DataFrame, tested: DataFrame, links: Callable
         found = materialise(links(new), "links")
         discard(now, new)
         if found.take(1):
-            root = components(found.unionByName(root.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+            # components of the roots that the links join, then each id's root by them
+            by = root.withColumnRenamed("root", "r")
+            ends = found.join(by.withColumnRenamed("r", "ra"), F.col("a") == F.col("id"), "left").drop("id").join(by.withColumnRenamed("r", "rb"), F.col("b") == F.col("id"), "left").drop("id")
+            merged = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).withColumnsRenamed({"id": "old", "root": "new"})
+            known = root.join(merged, F.col("root") == F.col("old"), "left").select("id", F.coalesce("new", "root").alias("root"))
+            root = materialise(known.unionByName(merged.select(F.col("old").alias("id"), F.col("new").alias("root"))).distinct(), "roots")
         if high >= most:
             break
-        low, high = high, high * 8
+        low, high = high, high * GROWTH
     discard(mixed, rows, kinds, members, bags)
     return root
 
