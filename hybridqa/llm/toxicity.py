@@ -45,18 +45,30 @@ class Trie:
 
     def __init__(self, terms: tuple[str, ...] | list[str], stems: tuple[str, ...] | frozenset[str] = ()) -> None:
         self.root: dict = {}
+        self.heads: dict[int, set[str]] = {}
+        self.tails: dict[tuple[int, int], set[str]] = {}
         for mark, entries in ((0, terms), (1, stems)):
             for t in entries:
+                half = len(t) // 2
+                self.heads.setdefault(half, set()).add(t[:half])
+                for shift in (-1, 0, 1):
+                    self.tails.setdefault((max(0, half + shift), len(t) + max(0, half + shift) - half), set()).add(t[half:])
                 at = self.root
                 for c in t:
                     at = at.setdefault(c, {})
                 at[mark] = t
 
+    def may_be_near(self, word: str) -> bool:
+        """False only if no entry is near: an edit leaves one half of an entry as it is, the first at its place, the second at most one place off."""
+        return any(word[:n] in some for n, some in self.heads.items()) or any(word[a:b] in some for (a, b), some in self.tails.items())
+
     def near(self, word: str, every: bool = True) -> list[tuple[int, str]]:
         """(0, term) of each term at most one edit from the word, (1, stem) of each stem so near to a prefix of it; without every, the first one found.
 
         Bit i of a state set means that i letters of the word are read, with no or one edit.
         """
+        if not self.may_be_near(word):
+            return []
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
