@@ -274,10 +274,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Model:
 
     def mistaken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
+            seen: dict[str, list[tuple[int, str]]] = {}
             for b in batches:
                 for d, text, y in rows(b):
                     if not y and not half(d):
-                        hit = {e for w in bare_words(text) if len(w) >= FUZZY_FROM - 1 and w not in model.known and not model.whole(w) for e in model.trie.near(w)}
+                        ws = bare_words(text)
+                        if len(seen) > 400_000:
+                            seen.clear()
+                        for w in ws - seen.keys():
+                            seen[w] = model.trie.near(w) if len(w) >= FUZZY_FROM - 1 and w not in model.known and not model.whole(w) else []
+                        hit = {e for w in ws for e in seen[w]}
                         for mark, entry in hit:
                             yield entry, mark, 1
 
