@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -561,3 +562,29 @@ def test_hard_tables(spark):
         assert run(df.where("false")).count() == 0, name
     pages = spark.createDataFrame([(None, None, 1), (None, "http://a.org/x", 1), (3, "", 1), (3, "", 1)], "page_id long, url string, n int")
     assert url_filter.judge_urls(pages).count() == 4
+
+
+def test_url_tree_is_as_deep_as_the_paths_and_merges_siblings(spark):
+    """Urls that part at the seventh segment, against the SQL; siblings of few labels lend each other their counts."""
+    rng, urls = np.random.default_rng(5), []
+    for k in range(400):
+        deep = "/".join(rng.choice(["a", "b", "c"], int(rng.integers(0, 9))))
+        urls.append(f"http://h{k % 5}.{rng.choice(['com', 'org', 'net'])}/{rng.choice(['de', 'fr', 'es', 'x'])}/{deep}")
+    urls += [f"http://w{k}.net/{'s/' * 30}{'de' if k % 2 else 'fr'}" for k in range(4)]
+    urls += ["http://m.com/p/q/r/s/t/u/v", None, "", "no scheme"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.judge_urls(pages)
+    con = duckdb.connect()
+    frame = pages.toPandas()  # noqa: F841
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(con.sql(url_filter.oracle_sql("frame")).fetchall(), key=str)
+    assert "/" + "s/" * 30 + "de" in {r.template for r in got.collect()}
+    # verdicts of a branch that only deep segments tell apart
+    deep = [("http://d.net/1/2/3/4/5/bad/" + str(k), "block") for k in range(40)] + [("http://d.net/1/2/3/4/5/good/" + str(k), "allow") for k in range(40)]
+    ruled = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(deep)] + [(100, "http://e.net/1/2/3/4/5/bad/zz"), (101, "http://e.net/1/2/3/4/5/good/zz")], "page_id long, url string")
+    own = (("d.net", "/1/2/3/4/5/bad/", "block"), ("d.net", "/1/2/3/4/5/good/", "allow"))
+    verdicts = {r.page_id: r.verdict for r in url_filter.judge_urls(ruled, own).collect()}
+    assert verdicts[100] == "block" and verdicts[101] == "allow"
+    # two children of one label each: together with their like siblings they are enough to leave the parent
+    nodes = [("h", 1, f"c{k}", "", 1, 1) for k in range(10)] + [("h", 1, "z", "", 0, 60), ("h", 1, "u", "", 0, 0)]
+    merged = {r.prefix: (r.block, r.labelled) for r in url_filter._merged(spark.createDataFrame(nodes, "host string, depth int, prefix string, parent string, block long, labelled long"), "host").collect()}
+    assert merged["c3"] == (10, 10) and merged["z"] == (0, 60) and merged["u"] == (0, 0)
