@@ -74,6 +74,8 @@ _PLAIN = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQ
 #: Those of a secret's characters.
 _ALPHABETS = (*_PLAIN, "!#$%&()*+-./:<=>?@[]^_{|}~", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýß")
 ROUNDS = 6
+#: Hashed values of a task in the collision check: few where that fills the session's shuffle partitions, many beyond.
+FEW, MANY = 500, 50_000
 KEY_CONF = "hybridqa.pii.key"
 Lookup = Callable[[Column], Column]
 
@@ -285,14 +287,16 @@ def _entity(e: Column) -> Column:
     return F.struct(kind_of(e).alias("kind"), lead.alias("lead"), F.substring(e, F.length(lead) + 1, F.length(e)).alias("core"))
 
 
-def collided(hashed: DataFrame, new: Callable[[Column], Column]) -> DataFrame:
+def collided(hashed: DataFrame, new: Callable[[Column], Column], parts: int = 1) -> DataFrame:
     """id, attempt (1 or more) of those of hashed (id, space, movable, other columns) whose first surrogate can't be used.
 
+    parts: tasks of the first round, as its few bytes say little of its work.
+
     new: the surrogate, from the columns of hashed and an attempt. In a space, an id that can't move keeps its surrogate;
     of others with one, the least by a hash does. A value that any id has had is never given again, so only the
     ids that collide go through a round; what the rounds before gave is read, not written again.
     """
-    now = materialise(hashed.withColumn("attempt", F.lit(0)).withColumn("new", new(F.lit(0))), "pii-hashed")
+    now = materialise(hashed.repartition(parts, "id").withColumn("attempt", F.lit(0)).withColumn("new", new(F.lit(0))), "pii-hashed")
     given, out, attempt = now.select("space", "new"), None, 0
     while True:
         keeper = now.groupBy("space", "new").agg(F.min(F.struct("movable", F.xxhash64("id").alias("h"), "id")).alias("best"), F.count("*").alias("n")).where("n > 1").select("space", "new", F.col("best.id").alias("keeper"))
@@ -315,16 +319,18 @@ def collided(hashed: DataFrame, new: Callable[[Column], Column]) -> DataFrame:
 
 def _bumped(entities: DataFrame, key: str) -> DataFrame:
     """id, attempt of all hashed values that had to be hashed again."""
+    n, slots = entities.count(), int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(min(n // FEW + 1, slots), n // MANY + 1)
     which = title_class(F.col("lead"))
     names = entities.where("kind = 'name'").select(which.alias("which"), "core").distinct()
     families = names.withColumn("id", family_id(F.col("which"), F.col("core"))).groupBy("id").agg(F.min(F.struct("which", "core")).alias("w")).select("id", "w.which", "w.core", F.substring_index("w.which", "_", 1).alias("space"), F.lit(True).alias("movable"))
-    family = collided(families, lambda a: _family(F.col("which"), F.col("core"), a, key))
+    family = collided(families, lambda a: _family(F.col("which"), F.col("core"), a, key), parts)
     pairs = names.where(F.col("core").contains(" ")).select(given_id(F.col("which"), F.col("core")).alias("id"), "which", "core", F.concat_ws("\x1f", "which", F.substring_index("core", " ", -1)).alias("space"), F.lit(True).alias("movable"))
-    given = collided(pairs, lambda a: _given(F.col("which"), F.col("core"), a, key))
+    given = collided(pairs, lambda a: _given(F.col("which"), F.col("core"), a, key), parts)
     numbers = entities.where("kind in ('card', 'iban')").select("kind", F.upper(F.regexp_replace("core", "[ -]", "")).alias("core")).distinct()
     right = F.when(F.col("kind") == "card", luhn(F.substring("core", F.lit(1), F.length("core") - 1)).cast("string") == F.substring("core", F.length("core"), F.lit(1))).otherwise(iban_check(F.substring("core", 1, 2), F.substring("core", F.lit(5), F.length("core"))) == F.substring("core", 3, 2))
     numbers = numbers.select(number_id(F.col("kind"), F.col("core")).alias("id"), "kind", "core", F.col("kind").alias("space"), (~right).alias("movable"))
-    number = collided(numbers, lambda a: F.when(F.col("kind") == "card", _card(F.col("core"), lambda _: a, key)).otherwise(_iban(F.col("core"), lambda _: a, key)))
+    number = collided(numbers, lambda a: F.when(F.col("kind") == "card", _card(F.col("core"), lambda _: a, key)).otherwise(_iban(F.col("core"), lambda _: a, key)), parts)
     return family.unionByName(given).unionByName(number)
 
 
