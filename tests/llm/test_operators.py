@@ -310,6 +310,23 @@ def test_suffix_dedup(spark, texts):
     assert suffix_dedup.without_repeated_bytes(frame(spark, texts).where("false")).count() == 0
 
 
+def test_cells_without_a_common_window_are_not_sorted():
+    rng = np.random.default_rng(21)
+    w, phrase = 60, rng.integers(0, 256, 30).astype(np.uint8)
+    make = lambda n: rng.integers(0, 256, n).astype(np.uint8)
+    shared = np.r_[make(25), phrase, make(25)]
+    units = [np.r_[make(50), phrase, make(50)] for _ in range(40)] + [np.r_[make(40), shared, make(40)] for _ in range(3)] + [np.tile(phrase[:16], 9)] * 2
+    found = list(cells(units, w, suffix_dedup.GRAM))
+    rows = [{"uid": i, "akey": key, "lo": lo, "units": units[t][lo : lo + n + w - 1].tobytes()} for i, (t, key, _, lo, n) in enumerate(found)]
+    times = Counter((r["akey"], x) for r in rows for x in {r["units"][k : k + w] for k in range(len(r["units"]) - w + 1)})
+    want = {(r["uid"], r["lo"] + k) for r in rows for k in range(len(r["units"]) - w + 1) if times[r["akey"], r["units"][k : k + w]] > 1}
+    left = suffix_dedup.in_question(rows, w)
+    assert want <= {(r["uid"], r["lo"] + k) for r in left for k in range(len(r["units"]) - w + 1)}
+    assert all(units[found[r["uid"]][0]][r["lo"] : r["lo"] + len(r["units"])].tobytes() == r["units"] for r in left)
+    assert {found[r["uid"]][0] for r in left} == {40, 41, 42, 43, 44}  # the phrase alone is shorter than a window
+    assert {(k, s) for k, a, b in suffix_dedup.sort_shard(rows, w) for s in range(a, b - w + 1)} == want
+
+
 def test_substring_dedup(spark, texts):
     w = 20
     got = Counter(tuple(r) for r in substring_dedup.without_repeats(frame(spark, texts), w).collect())
