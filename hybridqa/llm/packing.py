@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hybridqa.llm.common import byte_count, discard, documents_only, materialise, mix64, partitions, table, tune
-from hybridqa.llm.encoding import encoder
+from hybridqa.llm.encoding import GROUP, encoder
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH, END = 2048, 1
 DIMS, BITS, BUCKETS = 3, 10, 256
 
 
+@cache
 def _projection() -> tuple[np.ndarray, np.ndarray]:
     """For each id: its bucket, and its signed bucket's row of a fixed random projection."""
     h = mix64(np.arange(1, 65537, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -71,6 +73,18 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     return hilbert(cells.astype(np.int64)) if len(ids) else np.zeros(0, np.int64)
 
 
+def joined(batches: Iterator[pa.RecordBatch], size: int = GROUP) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches: those below that many bytes wait for others, larger ones stay as they are."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if held and sum(x.nbytes for x in held) + b.nbytes > size:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(b)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def checked(ids: np.ndarray) -> np.ndarray:
     """The ids, which are stored in 16 bits; a vocabulary that needs more raises."""
     if ids.max(initial=0) > 65_535:
@@ -90,7 +104,7 @@ def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY,
     coded = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in joined(batches):
             ids = [checked(np.append(a, np.uint32(END))) for a in encoder(vocabulary, path).ids(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(curve_keys(ids), pa.int64()), pa.array([len(a) for a in ids], pa.int64()), pa.array([a.astype("<u2").tobytes() for a in ids], pa.binary())], schema=coded)
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hybridqa.llm import decontaminate, encoding, near_dedup, packing, pii, quality, suffix_dedup, substring_dedup, token_counts, toxicity, url_filter
@@ -102,6 +103,32 @@ def test_ids_are_the_librarys(name):
     assert e.counts(some) == [len(x.ids) for x in e.library.encode_batch(some, add_special_tokens=False)]
 
 
+def test_equal_words_meet_before_they_are_looked_up(monkeypatch):
+    rng = random.Random(4)
+    e = encoding.Encoder(packing.VOCABULARY)
+    bits = ["don't", " wÖrld", "ÀÞÿßÖØÝ", "12", "!?", "'", "'S", "'RE", "'vé", "'ll", "L", "l", "'l", "''s", "</w>", "_`", "\r\n", " ", "\t", "<", "s", "Z9"]
+    some = ["", " \n", "'", *("".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(600)), "", "word " * 5000, "日本"]
+    want = [x.ids for x in e.library.encode_batch(some, add_special_tokens=False)]
+    pieces, before = encoding.word_pieces([t.encode() for t in some[:-1]])
+    pieces = [p.decode() for p in pieces.to_pylist()]
+    assert [pieces[a:b] for a, b in zip(before, before[1:], strict=False)] == [e.parts(t) for t in some[:-1]]
+    distinct, asked, runs = len(set(pieces)), [], e.runs
+    e.find = None  # no piece is made by the pattern
+    monkeypatch.setattr(e, "runs", lambda ps: asked.append(len(ps)) or runs(ps))
+    assert [list(a) for a in e.ids(some)] == want and asked == [distinct]
+    monkeypatch.setattr(encoding, "GROUP", 300)
+    assert [list(a) for a in e.ids(some)] == want and len(asked) > 5
+    monkeypatch.setattr(encoding, "CACHE", 10)
+    assert [list(a) for a in e.ids(some)] == want and len(e.merged) <= 10 + distinct
+
+
+def test_small_batches_are_joined_in_order():
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": ["x" * n]}) for k, n in enumerate([10, 20, 500, 5, 5, 120, 0])]
+    got = list(packing.joined(iter(batches), 150))
+    assert [b.column("doc_id").to_pylist() for b in got] == [[0, 1], [2], [3, 4], [5, 6]] and not list(packing.joined(iter([])))
+    assert [t for b in got for t in b.column("text").to_pylist()] == [t for b in batches for t in b.column("text").to_pylist()]
+
+
 def test_packing_is_a_whole_round_trip(spark, texts):
     rows = [r.asDict() for r in packing.packed(frame(spark, texts), length=64, slices=3).collect()]
     e = encoding.Encoder(packing.VOCABULARY)
