@@ -26,9 +26,11 @@ SIMILAR = 0.8
 #: Single words changed at random in a tenth of a text leave j = 0.42, met in 97 of 100 cases (measured recall: README).
 SKETCHES, MINIMA = 48, 3
 #: Members of a bucket that take the first turn in being compared with those of other components, and the growth of later turns.
-TURN, GROWTH = 16, 32
-#: In buckets with more members outside the largest component, pairs are ruled out by their bags of words before texts are fetched.
+TURN, GROWTH = 64, 32
+#: In buckets with more members outside the largest component, only texts meet that share one of their rare words.
 HOT = 64
+#: Words are counted in so many slots to tell rare ones (a power of two). The order that this gives need not be exact, only one for all texts.
+SLOTS = 1 << 16
 _P = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * _P) | np.uint64(1)
 #: Elements hashed at once: bounds the memory that a very long text takes.
@@ -169,14 +171,40 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bags, pa.list_(pa.int32()))], names=["doc_id", "bag"])
 
 
+def rare_words(bag: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The n - ceil(0.8 n) + 1 words of a bag that come first, rarest slots before others.
+
+    An alignment matches 0.8 or more of both texts' words, so at most n - ceil(0.8 n) words of either one are left
+    out: of two such texts, the matched word that is first in this order stands in both selections.
+    """
+    n = len(bag)
+    return bag[np.lexsort((bag, counts[bag & (SLOTS - 1)]))[: n - int(np.ceil(SIMILAR * n - 1e-9)) + 1]]
+
+
+def _rare(bags: DataFrame) -> DataFrame:
+    """doc_id, n (its words) and rare, the rare words that texts of one doc_id and length have; bags: doc_id, bag."""
+    counts = np.zeros(SLOTS, np.int64)
+    slot = F.col("word").bitwiseAND(F.lit(SLOTS - 1))
+    for r in bags.select(F.explode("bag").alias("word")).groupBy(slot.alias("slot")).count().collect():
+        counts[r["slot"]] = r["count"]
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            whole = [np.array(x, np.int32) for x in b.column("bag").to_pylist()]
+            rare = [rare_words(x, counts) for x in whole]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in whole], pa.int32()), pa.array(rare, pa.list_(pa.int64()))], names=["doc_id", "n", "rare"])
+
+    return bags.mapInArrow(picked, "doc_id long, n int, rare array<long>").groupBy("doc_id", "n").agg(F.array_distinct(F.flatten(F.collect_set("rare"))).alias("rare"))
+
+
 def _joined(keys: DataFrame, docs: DataFrame, tested: DataFrame, links: Callable[[DataFrame], DataFrame], root: DataFrame) -> DataFrame:
     """(id, root) after all pairs of a bucket whose components differ have been compared. keys: key, doc_id, n.
 
-    The members of a bucket's largest component need no comparison with each other. All other members take turns,
-    in slices by a hash that grow from round to round, in being compared with every member of another component,
-    so that what one round joins spares the next ones. A pair meets in the first of its common buckets only. In hot
-    buckets the join itself drops pairs whose bags of words have too little in common for any alignment: an exact
-    bound, so that a passage that many texts share costs no fetched texts.
+    The members of a bucket's largest component need no comparison with each other. All other texts take turns,
+    in slices by a hash that grow from round to round, in being compared with every text of another component
+    with which they share a bucket, so that what one round joins spares the next ones. Texts meet at the keys of their
+    buckets; in hot buckets they meet at their rare words instead: an exact bound, so that a passage that
+    many texts share makes no pairs.
     """
     labelled = lambda rows: rows.join(root, F.col("doc_id") == F.col("id"), "left").withColumn("root", F.coalesce("root", "doc_id")).drop("id")
     rows = labelled(keys)
@@ -184,26 +212,30 @@ def _joined(keys: DataFrame, docs: DataFrame, tested: DataFrame, links: Callable
     rows = materialise(rows.join(mixed, "key"), "mixed-buckets")
     kinds = rows.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("all"))
     kinds = materialise(kinds.select("key", F.col("main.root").alias("main"), (F.col("all") - F.col("main.n")).alias("others")), "bucket-kinds")
-    place = F.pmod(F.xxhash64("key", "doc_id"), F.lit(1 << 30)) / (1 << 30) * F.col("others")
-    members = rows.join(kinds, "key").select("key", "doc_id", "n", F.when(F.col("root") == F.col("main"), -1.0).otherwise(place).alias("place"), "others")
-    members = materialise(members.join(rows.groupBy("doc_id").agg(F.sort_array(F.collect_set("key")).alias("mine")), "doc_id"), "bucket-members")
-    hot = members.where(F.col("others") > HOT).select("doc_id").distinct()
-    bags = materialise(docs.join(hot, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_bags, "doc_id long, bag array<int>"), "bags")
+    cold = F.col("others") <= HOT
+    members = rows.join(kinds, "key").groupBy("doc_id", "n").agg(
+        F.collect_set("key").alias("mine"), F.collect_set(F.when(cold, F.col("key"))).alias("points"), F.max(~cold).alias("hot"), F.max(F.when(F.col("root") != F.col("main"), F.col("others"))).alias("turn"),
+    )
+    members = materialise(members, "bucket-members")
+    written, (most, hot) = [mixed, rows, kinds, members], members.agg(F.max("turn"), F.max("hot")).first()
+    if hot:
+        bags = materialise(docs.join(members.where("hot").select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, bag array<int>"), "bags")
+        both = members.join(_rare(bags), ["doc_id", "n"], "left")
+        members = materialise(both.withColumn("points", F.when(F.col("hot"), F.concat("points", "rare")).otherwise(F.col("points"))).drop("rare"), "bucket-points")
+        written += [bags, members]
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30) * F.col("turn")
+    members = members.select("doc_id", "n", "mine", "points", F.coalesce(place, F.lit(-1.0)).alias("place"))
     low, high = 0, TURN
-    while (most := members.agg(F.max("others")).first()[0] or 0) > low:
-        live = labelled(members.where(F.col("others") > low))
-        cold = live.where(F.col("others") <= HOT).withColumn("bag", F.lit(None).cast("array<int>"))
-        now = materialise(cold.unionByName(live.where(F.col("others") > HOT).join(bags, "doc_id")), "bucket-round")
-        centre = now.where((F.col("place") >= low) & (F.col("place") < high)).select(F.col("key").alias("bucket"), F.col("doc_id").alias("centre"), F.col("n").alias("m"), F.col("root").alias("centre_root"), F.col("mine").alias("theirs"), F.col("bag").alias("other_bag"))
-        met = now.where((F.col("place") < 0) | (F.col("place") >= low)).join(
+    while (most or 0) > low:
+        now = labelled(members.where((F.col("place") < 0) | (F.col("place") >= low))).select("doc_id", "n", "mine", "place", "root", F.explode("points").alias("point"))
+        centre = now.where((F.col("place") >= low) & (F.col("place") < high)).select(F.col("point").alias("meeting"), F.col("doc_id").alias("centre"), F.col("n").alias("m"), F.col("root").alias("centre_root"), F.col("mine").alias("theirs"))
+        met = now.join(
             centre,
-            (F.col("key") == F.col("bucket")) & (F.col("root") != F.col("centre_root")) & alike_lengths(F.col("n"), F.col("m"))
-            & (F.element_at(F.array_intersect("mine", "theirs"), 1) == F.col("key"))
-            & F.coalesce(F.size(F.array_intersect("bag", "other_bag")) >= F.ceil(F.greatest("n", "m") * F.lit(SIMILAR) - 1e-9), F.lit(True)),
+            (F.col("point") == F.col("meeting")) & (F.col("root") != F.col("centre_root")) & alike_lengths(F.col("n"), F.col("m")) & F.arrays_overlap("mine", "theirs"),
         )
         new = materialise(met.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         found = materialise(links(new), "links")
-        discard(now, new)
+        discard(new)
         if found.take(1):
             # components of the roots that the links join, then each id's root by them
             by = root.withColumnRenamed("root", "r")
@@ -214,7 +246,7 @@ def _joined(keys: DataFrame, docs: DataFrame, tested: DataFrame, links: Callable
         if high >= most:
             break
         low, high = high, high * GROWTH
-    discard(mixed, rows, kinds, members, bags)
+    discard(*written)
     return root
 
 

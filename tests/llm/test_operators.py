@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from hybridqa.llm import decontaminate, encoding, near_dedup, packing, pii, quality, suffix_dedup, substring_dedup, token_counts, toxicity, url_filter
+from hybridqa.llm import decontaminate, encoding, graph, near_dedup, packing, pii, quality, suffix_dedup, substring_dedup, token_counts, toxicity, url_filter
 from hybridqa.llm.graph import components
 from hybridqa.llm.repeats import cells
 from hybridqa.llm.suffix_array import common_prefixes, suffix_array
@@ -264,6 +264,23 @@ def test_a_bucket_is_compared_whole(spark, monkeypatch):
     assert got == dict(zip((i for i, _ in docs), least, strict=True)) and len(set(least)) > 40
 
 
+def test_alike_texts_share_a_rare_word():
+    # texts at the bound, whatever the counts; a passage that all share is none of the rare words of texts with words of their own
+    rng = np.random.default_rng(20)
+    for k in range(400):
+        n, m = sorted(rng.integers(1, 60, 2).tolist())
+        need = -(-4 * m // 5)
+        if n >= need:
+            words = rng.integers(-(2**31), 2**31, n + m, dtype=np.int64).astype(np.int32)
+            counts = rng.integers(0, 4, near_dedup.SLOTS) if k % 2 else np.zeros(near_dedup.SLOTS, np.int64)
+            x, y = words[:n], np.r_[rng.permutation(words[:n])[:need], words[n : n + m - need]]
+            assert set(near_dedup.rare_words(x, counts).tolist()) & set(near_dedup.rare_words(y, counts).tolist())
+    passage, own = np.arange(100, dtype=np.int32), [np.arange(1000 * k, 1000 * k + 30, dtype=np.int32) for k in range(1, 9)]
+    bags = [np.r_[passage, o] for o in own]
+    counts = np.bincount(np.concatenate(bags) & (near_dedup.SLOTS - 1), minlength=near_dedup.SLOTS)
+    assert all(set(near_dedup.rare_words(b, counts).tolist()) <= set(o.tolist()) for b, o in zip(bags, own, strict=True))
+
+
 def test_sketches_see_order():
     rng = random.Random(6)
     a = near_dedup.shingles(prose(rng, 400, 10**6).encode().split())
@@ -292,6 +309,19 @@ def test_components(spark):
     assert got == {i: root(i) for i in parent if root(i) != i}
 
 
+def test_few_edges_are_joined_without_rounds(spark, monkeypatch):
+    # a path, a star around the greatest id and repeated edges: two tables are written, not some for each round; the rounds of a large table give the same
+    edges = [(i * 7 % 101, (i + 1) * 7 % 101) for i in range(100)] + [(900, i) for i in range(300, 400)] * 2 + [(5, 5), (None, 3)]
+    written, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: written.append(name) or write(df, name))
+    df = spark.createDataFrame(edges, "a long, b long")
+    few = {r.id: r.root for r in components(df).collect()}
+    assert len(written) == 2 and few == {i: 0 for i in range(1, 101)} | {i: 300 for i in [*range(301, 400), 900]}
+    assert components(df.where("false")).count() == 0
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    assert {r.id: r.root for r in components(df).collect()} == few and len(written) > 6
+
+
 def test_suffix_array():
     rng = np.random.default_rng(8)
     for _ in range(300):
