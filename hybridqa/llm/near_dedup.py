@@ -197,6 +197,15 @@ def _rare(bags: DataFrame) -> DataFrame:
     return bags.mapInArrow(picked, "doc_id long, n int, rare array<long>").groupBy("doc_id", "n").agg(F.array_distinct(F.flatten(F.collect_set("rare"))).alias("rare"))
 
 
+def _bounded(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bags of words have enough in common for an alignment, an exact bound; those without a bag stay."""
+    of = lambda c: bags.select(F.col("doc_id").alias(c), F.col("bag").alias(f"bag_{c}"))
+    # words of one text whose hashes are equal count once in an intersection
+    most = F.size(F.array_intersect("bag_a", "bag_b")) + F.size("bag_a") - F.size(F.array_distinct("bag_a"))
+    enough = most >= F.ceil(F.greatest(F.size("bag_a"), F.size("bag_b")) * F.lit(SIMILAR) - 1e-9)
+    return pairs.join(of("b"), "b", "left").join(of("a"), "a", "left").where(F.col("bag_a").isNull() | F.col("bag_b").isNull() | enough).select("a", "b").distinct()
+
+
 def _joined(keys: DataFrame, docs: DataFrame, tested: DataFrame, links: Callable[[DataFrame], DataFrame], root: DataFrame) -> DataFrame:
     """(id, root) after all pairs of a bucket whose components differ have been compared. keys: key, doc_id, n.
 
@@ -204,7 +213,7 @@ def _joined(keys: DataFrame, docs: DataFrame, tested: DataFrame, links: Callable
     in slices by a hash that grow from round to round, in being compared with every text of another component
     with which they share a bucket, so that what one round joins spares the next ones. Texts meet at the keys of their
     buckets; in hot buckets they meet at their rare words instead: an exact bound, so that a passage that
-    many texts share makes no pairs.
+    many texts share makes no pairs. Bags of words then rule out more pairs before texts are fetched.
     """
     labelled = lambda rows: rows.join(root, F.col("doc_id") == F.col("id"), "left").withColumn("root", F.coalesce("root", "doc_id")).drop("id")
     rows = labelled(keys)
@@ -234,7 +243,7 @@ def _joined(keys: DataFrame, docs: DataFrame, tested: DataFrame, links: Callable
             (F.col("point") == F.col("meeting")) & (F.col("root") != F.col("centre_root")) & alike_lengths(F.col("n"), F.col("m")) & F.arrays_overlap("mine", "theirs"),
         )
         new = materialise(met.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = materialise(links(new), "links")
+        found = materialise(links(_bounded(new, bags) if hot else new), "links")
         discard(new)
         if found.take(1):
             # components of the roots that the links join, then each id's root by them
